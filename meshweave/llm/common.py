@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,23 @@ def n_words(column: str | Column) -> Column:
     return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
+#: A text is handled in parts of about this many bytes.
+PART_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def parts(raw: bytes) -> Iterator[bytes]:
+    """Cut a text at white space into parts of about ``PART_BYTES``."""
+    start = 0
+    while len(raw) - start > PART_BYTES:
+        space = _SPACE.search(raw, start + PART_BYTES)
+        if space is None:
+            break
+        yield raw[start : space.start()]
+        start = space.end()
+    yield raw[start:] if start else raw
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken_words
+
+    return taken_words(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,8 +29,34 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_selection
+
+    return quality_selection(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_topk, quantised
+
+    rows = quantised(read(spark, sf_dir, "embeddings"))
+    return exact_topk(rows.where("id % 100 = 0"), rows)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_text, near_duplicate_classes
+
+    return near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op8_toxicity": op8_toxicity}
+    found = [op1_mixing, op2_topk, op3_token_counts, op4_warc, op8_toxicity, op9_quality, op10_simhash]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

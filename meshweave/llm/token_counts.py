@@ -26,25 +26,10 @@ from . import common
 LONG_PIECE = 1 << 16
 BATCH_BYTES = 1 << 20
 MEMO_ENTRIES = 400_000
-#: A text is handled in parts of about this many bytes.
-PART_BYTES = 1 << 20
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _DIGIT = re.compile(rb"(?<=[0-9])(?=[0-9A-Za-z])")
 
 
-def parts(raw: bytes) -> Iterator[bytes]:
-    """Cut a text at white space into parts of about ``PART_BYTES``."""
-    start = 0
-    while len(raw) - start > PART_BYTES:
-        space = _SPACE.search(raw, start + PART_BYTES)
-        if space is None:
-            break
-        yield raw[start : space.start()]
-        start = space.end()
-    yield raw[start:] if start else raw
-
-
 def safe_pieces(piece: bytes) -> list[bytes]:
     """Cut one long piece at its safe boundaries, into parts of about ``LONG_PIECE``."""
     if len(piece) <= LONG_PIECE:
@@ -80,7 +65,7 @@ class Counter:
 
     def count(self, raw: bytes) -> int:
         total = 0
-        for part in parts(raw):
+        for part in common.parts(raw):
             words = part.split()
             seen = set(words)
             new = seen.difference(self.memo)
