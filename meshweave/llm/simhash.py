@@ -66,17 +66,17 @@ def fingerprint(raw: bytes, k: int = 3) -> int:
     return int(_SCALE[(2 * ones.ravel() > total)].sum())
 
 
-def fingerprints(docs: DataFrame, k: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+    """``doc_id, print, fp`` of every row: a hash of its text, and the 64 bits as a signed long."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", k) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", k) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "print", "fp"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, print long, fp long")
 
 
 def index_masks(radius: int) -> list[int]:
@@ -139,15 +139,19 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return lists.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, k: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id reachable over links of ``radius`` bits."""
-    prints = common.cut(fingerprints(docs, k, doc_id, text))
+def classes_of(docs: DataFrame, k: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``doc_id, print, fp``, and every fingerprint's ``fp, label, component_id``."""
+    prints = common.cut(fingerprints(docs, k))
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    rooted = common.cut(rooted)
+    rooted = common.cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     smallest = common.cut(rooted.groupBy("label").agg(F.min("least").alias("component_id")))
-    classes = common.cut(rooted.join(smallest, "label").select("fp", "component_id"))
+    return prints, common.cut(rooted.join(smallest, "label").select("fp", "label", "component_id"))
+
+
+def near_duplicate_classes(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
+    """``doc_id, fp, component_id``: the smallest id reachable over links of ``radius`` bits."""
+    prints, classes = classes_of(docs, k, radius)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -156,9 +160,15 @@ def fingerprint_text(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their class."""
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-
+def one_of_each_class(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each class: the smallest id, null last, then the least hash of the text.
 
+    Rows are told apart by id and text; of rows equal in both one stays.
+    """
+    last = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    prints, classes = classes_of(docs, k, radius)
+    first = prints.groupBy("fp").agg(F.min(last()).alias("first")).join(classes.select("fp", "label"), "fp").groupBy("label").agg(F.min("first").alias("first"))
+    kept = common.cut(first.select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.print").alias("__print")))
+    keys = ["__id", "__none", "__print"]
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__print": F.xxhash64("text")})
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
