@@ -85,12 +85,12 @@ def triangles_sql(side: str) -> str:
     rows = ", ".join("(" + ", ".join(map(str, [n, *[f"{b:g}e0" for b in bits]])) + ")" for n, bits in enumerate(generate.face_bits()))
     names = ", ".join(f"f{c}" for c in TRIANGLE)
     cols = ", ".join(f"CASE WHEN f{c} > 0 THEN c{c[1]}+size ELSE c{c[1]} END AS {c}" for c in TRIANGLE)
-    return f"{objects_sql(side)}, tri_{side} AS (SELECT id*12+n AS tri_idx, id AS object_id, {cols} FROM obj_{side}, (VALUES {rows}) fa(n, {names}))"
+    return f"{objects_sql(side)}, tri_{side} AS MATERIALIZED (SELECT id*12+n AS tri_idx, id AS object_id, {cols} FROM obj_{side}, (VALUES {rows}) fa(n, {names}))"
 
 
 def edges_sql(side: str) -> str:
     three = " UNION ALL ".join(f"SELECT tri_idx, {i} AS edge_no, object_id, {', '.join(f'{a}{x} AS s{x}' for x in AXES)}, {', '.join(f'{b}{x} AS e{x}' for x in AXES)} FROM tri_{side}" for i, (a, b) in enumerate((("p", "q"), ("q", "r"), ("r", "p"))))
-    return f"{triangles_sql(side)}, edge_{side} AS ({three})"
+    return f"{triangles_sql(side)}, edge_{side} AS MATERIALIZED ({three})"
 
 
 MEET = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.z0 < b.z1 AND b.z0 < a.z1"
