@@ -77,5 +77,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Inner products of whole vectors, in integers.
+_TOPK = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id))
+WHERE rank <= 10"""
+
+#: Base32 takes five bits at a time from the digest's hex digits.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + (i // 4) * 5)::INT, 5))::BIGINT >> (5 * (3 - i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to
+FROM d"""
+
+#: All windows of all documents.
+_SUBSTRING = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS g FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+hit AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT rid, j FROM (SELECT rid, unnest(range(i, i + 50)) AS j FROM hit)),
+word AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (rid, j) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others are tested against brute force."""
+    return {"op2_topk": _TOPK, "op4_warc": _WARC, "op5_substring_dedup": _SUBSTRING}
