@@ -91,14 +91,15 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
 
 def items_of(benchmark: DataFrame, radius: int) -> DataFrame:
     """The benchmark's items with their shingles, number of words and fingerprint."""
-    items = with_shingles(benchmark.select("item_id", "text"), common.text_of("text")).where(F.size("__words") > 0)
-    return common.cut(items.select("item_id", F.size("__words").alias("n_words"), F.col("__shingles").alias("item")).withColumn("item_fp", simhash("item")))
+    items = with_shingles(benchmark.select("item_id", "text"), common.text_of("text"))
+    items = common.cut(items.select("item_id", F.size("__words").alias("n_words"), F.col("__shingles").alias("item")))
+    return common.cut(items.where("n_words > 0").withColumn("item_fp", simhash("item")))
 
 
 def candidate_windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """``print, n_words, w, start``: the windows with enough matched shingles, by the text's hash."""
     rows = with_shingles(docs.select(F.xxhash64("text").alias("print"), common.text_of("text").alias("text")), F.col("text"))
-    rows = rows.select("print", F.size("__shingles").alias("n"), F.posexplode("__shingles").alias("p", "h"))
+    rows = rows.select("print", F.size("__shingles").alias("n"), F.posexplode_outer("__shingles").alias("p", "h"))  # outer: else the optimiser tests the array by computing it again
     wanted = common.cut(items.select("item_id", "n_words", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h")))
     known = common.cut(wanted.select("h").distinct())
     met = rows.join(maybe_broadcast(known), "h", "left_semi").join(maybe_broadcast(wanted), "h")
@@ -109,7 +110,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame, similarity: float) -> D
     places = places.withColumn("need", need).where(F.size("at") >= F.col("need"))
     enough = lambda p, i: F.get("at", i + F.col("need") - 1) < p + F.col("w")
     starts = F.transform(F.filter("at", enough), lambda p: F.least(p, F.col("n") - F.col("w")))
-    return places.select("print", "n_words", "w", F.explode(F.array_distinct(starts)).alias("start")).distinct()
+    return places.select("print", "n_words", "w", F.explode_outer(F.array_distinct(starts)).alias("start")).where("start is not null").distinct()
 
 
 def text_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24) -> DataFrame:
@@ -120,9 +121,9 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, ra
     texts = docs.select("text").withColumn("print", F.xxhash64("text")).join(maybe_broadcast(prints), "print")
     texts = with_shingles(texts.groupBy("print").agg(F.first("text").alias("text")), F.col("text")).select("print", "__shingles")
     windows = texts.join(found, "print").select("print", "n_words", "start", F.slice("__shingles", F.col("start") + 1, F.col("w")).alias("window"))
-    windows = windows.withColumn("fp", simhash("window"))
-    windows = windows.withColumn("__blocks", blocks("fp", radius)).select("*", F.explode("__blocks").alias("x")).select("*", "x.block", "x.value").drop("x")
-    indexed = items.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.explode("item_blocks").alias("x")).select("*", "x.block", "x.value").drop("x")
+    windows = common.cut(windows.withColumn("fp", simhash("window")))
+    windows = windows.withColumn("__blocks", blocks("fp", radius)).select("*", F.explode_outer("__blocks").alias("x")).select("*", "x.block", "x.value").drop("x")
+    indexed = items.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.explode_outer("item_blocks").alias("x")).select("*", "x.block", "x.value").drop("x")
     pairs = windows.join(maybe_broadcast(common.cut(indexed)), ["n_words", "block", "value"])
     agrees = F.zip_with("__blocks", "item_blocks", lambda a, b: a["value"] == b["value"])
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.array_position(agrees, F.lit(True)) == F.col("block") + 1))
