@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,10 +76,77 @@ def _triangles_of(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select(*NAMES).join(side(a, "a"), "a_object_id").join(side(b, "b"), "b_object_id")
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a / b`` cut to [0, 1]; 0 where ``b`` is 0."""
+    return np.clip(np.divide(a, b, out=np.zeros_like(a), where=b != 0), 0, 1)
+
+
+def _to_segment(x, a, b) -> np.ndarray:
+    d = b - a
+    r = x - a - d * _share(_dot(x - a, d), _dot(d, d))[:, None]
+    return _dot(r, r)
+
+
+def _segments(a, b, c, d) -> np.ndarray:
+    """Squared distance of segments."""
+    u, v, w = b - a, d - c, a - c
+    uu, uv, vv, uw, vw = _dot(u, u), _dot(u, v), _dot(v, v), _dot(u, w), _dot(v, w)
+    s = _share(uv * vw - vv * uw, uu * vv - uv * uv)
+    t = _share(uv * s + vw, vv)
+    s = _share(uv * t - uw, uu)
+    r = w + u * s[:, None] - v * t[:, None]
+    return np.minimum.reduce([_dot(r, r), _to_segment(a, c, d), _to_segment(b, c, d), _to_segment(c, a, b), _to_segment(d, a, b)])
+
+
+def _above(x, t) -> np.ndarray:
+    """Squared distance of points to triangles they lie above; infinite beside them."""
+    n = np.cross(t[1] - t[0], t[2] - t[0])
+    nn, h = _dot(n, n), _dot(x - t[0], n)
+    inside = nn > 0
+    for p, q in ((0, 1), (1, 2), (2, 0)):
+        inside &= _dot(np.cross(t[q] - t[p], x - t[p]), n) >= 0
+    return np.where(inside, np.divide(h * h, nn, out=np.zeros_like(h), where=nn != 0), np.inf)
+
+
+def _pierces(s, e, t) -> np.ndarray:
+    """Whether segments meet triangles."""
+    d, e1, e2, m = e - s, t[1] - t[0], t[2] - t[0], s - t[0]
+    h, g_ = np.cross(d, e2), np.cross(m, e1)
+    det = _dot(e1, h)
+    w, size, n = np.sign(det), np.abs(det), np.sqrt(_dot(d, d))
+    u, v, k = w * _dot(m, h), w * _dot(d, g_), w * _dot(e2, g_)
+    return (det != 0) & (n >= g.EPS) & (u >= 0) & (v >= 0) & (u + v <= size) & (k * n >= g.EPS * size) & (k * n <= (n + g.EPS) * size)
+
+
+def triangle_distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Distances of pairs of triangles, of shape (3, n, 3) each; 0 where they meet."""
+    sides = ((0, 1), (1, 2), (2, 0))
+    near = [_segments(one[a], one[b], two[c], two[d]) for a, b in sides for c, d in sides]
+    near += [_above(x, other) for t, other in ((one, two), (two, one)) for x in t]
+    meet = np.logical_or.reduce([_pierces(t[a], t[b], other) for t, other in ((one, two), (two, one)) for a, b in sides])
+    return np.where(meet, 0.0, np.sqrt(np.minimum.reduce(near)))
+
+
 def mesh_distance(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """``distance`` of the meshes of each pair: the least over their triangles."""
-    rows = _triangles_of(pairs, a, b).select(*NAMES, g.triangle_distance(_corners("a_"), _corners("b_")).alias("d"))
-    return rows.groupBy(*NAMES).agg(F.min("d").alias("distance"))
+    """``distance`` of the meshes of each pair: the least over their triangles.
+
+    As one expression a triangle pair's distance is too large to compile; the kernel runs over Arrow batches.
+    """
+    rows = _triangles_of(pairs, a, b).select(*NAMES, *[f"{s}_{c}" for s in "ab" for c in TRIANGLE])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            one, two = (frame.iloc[:, k : k + 9].to_numpy().reshape(-1, 3, 3).transpose(1, 0, 2) for k in (2, 11))
+            out = frame.iloc[:, :2].assign(d=triangle_distances(one, two))
+            yield out.groupby(list(NAMES), as_index=False)["d"].min()
+
+    kinds = [rows.schema[n].dataType.simpleString() for n in NAMES]
+    least = rows.mapInPandas(run, f"{NAMES[0]} {kinds[0]}, {NAMES[1]} {kinds[1]}, d double")
+    return least.groupBy(*NAMES).agg(F.min("d").alias("distance"))
 
 
 def mesh_intersects(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
