@@ -120,6 +120,15 @@ def parts(raw: bytes) -> Iterator[bytes]:
     yield raw[start:] if start else raw
 
 
+#: The most rows, of a few numbers each, that a computed frame may have to be broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` (computed, cheap to count), broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

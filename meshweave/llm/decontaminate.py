@@ -17,7 +17,7 @@ Windows that reach the similarity differ from the item by about 10 of 64 bits at
 0.8 and less above; the default radius of 24 lies five standard deviations beyond.
 
 The benchmark's shingles are broadcast only if, counted, they are few
-(``BROADCAST_ROWS``); otherwise the join shuffles. The same holds for the hashes of
+(``common.BROADCAST_ROWS``); otherwise the join shuffles. The same holds for the hashes of
 texts with candidate windows.
 
 Edge cases: null or empty texts and items have no words and match nothing; items of
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
-BROADCAST_ROWS = 300_000
 
 
 def words_of(text: Column) -> Column:
@@ -84,11 +83,6 @@ def weighted_similarity(a: str, b: str) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``df`` (computed, cheap to count), broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def items_of(benchmark: DataFrame, radius: int) -> DataFrame:
     """The benchmark's items with their shingles, number of words and fingerprint."""
     items = with_shingles(benchmark.select("item_id", "text"), common.text_of("text"))
@@ -102,7 +96,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame, similarity: float) -> D
     rows = rows.select("print", F.size("__shingles").alias("n"), F.posexplode_outer("__shingles").alias("p", "h"))  # outer: else the optimiser tests the array by computing it again
     wanted = common.cut(items.select("item_id", "n_words", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h")))
     known = common.cut(wanted.select("h").distinct())
-    met = rows.join(maybe_broadcast(known), "h", "left_semi").join(maybe_broadcast(wanted), "h")
+    met = rows.join(common.maybe_broadcast(known), "h", "left_semi").join(common.maybe_broadcast(wanted), "h")
     places = met.groupBy("print", "n", "item_id", "n_words", "m").agg(F.collect_set("p").alias("at")).withColumn("at", F.sort_array("at"))
     places = places.withColumn("w", F.least("m", "n"))
     # I / (m + w - I) >= similarity needs I shared shingles, at most the matched ones of the window
@@ -118,13 +112,13 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, ra
     items = items_of(benchmark, radius)
     found = common.cut(candidate_windows(docs, items, similarity))
     prints = common.cut(found.select("print").distinct())
-    texts = docs.select("text").withColumn("print", F.xxhash64("text")).join(maybe_broadcast(prints), "print")
+    texts = docs.select("text").withColumn("print", F.xxhash64("text")).join(common.maybe_broadcast(prints), "print")
     texts = with_shingles(texts.groupBy("print").agg(F.first("text").alias("text")), F.col("text")).select("print", "__shingles")
     windows = texts.join(found, "print").select("print", "n_words", "start", F.slice("__shingles", F.col("start") + 1, F.col("w")).alias("window"))
     windows = common.cut(windows.withColumn("fp", simhash("window")))
     windows = windows.withColumn("__blocks", blocks("fp", radius)).select("*", F.explode_outer("__blocks").alias("x")).select("*", "x.block", "x.value").drop("x")
     indexed = items.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.explode_outer("item_blocks").alias("x")).select("*", "x.block", "x.value").drop("x")
-    pairs = windows.join(maybe_broadcast(common.cut(indexed)), ["n_words", "block", "value"])
+    pairs = windows.join(common.maybe_broadcast(common.cut(indexed)), ["n_words", "block", "value"])
     agrees = F.zip_with("__blocks", "item_blocks", lambda a, b: a["value"] == b["value"])
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.array_position(agrees, F.lit(True)) == F.col("block") + 1))
     pairs = pairs.withColumn("similarity", weighted_similarity("window", "item")).where(F.col("similarity") >= similarity)
@@ -135,11 +129,11 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, ra
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``doc_id, item_id, start_word, similarity`` of every contaminated document and its items."""
     found = text_hits(docs, benchmark, **how)
-    return docs.select("doc_id", F.xxhash64("text").alias("print")).join(maybe_broadcast(found), "print").drop("print")
+    return docs.select("doc_id", F.xxhash64("text").alias("print")).join(common.maybe_broadcast(found), "print").drop("print")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that no item contaminates."""
     found = common.cut(text_hits(docs, benchmark, **how).select(F.col("print").alias("__print")).distinct())
     rows = docs.withColumn("__print", F.xxhash64("text"))
-    return rows.join(maybe_broadcast(found), "__print", "left_anti").select(*docs.columns)
+    return rows.join(common.maybe_broadcast(found), "__print", "left_anti").select(*docs.columns)

@@ -12,6 +12,9 @@ the corpus; within it, links are found by looking up every flip of at most
 ``radius`` of the free bits, in time linear in the list, and leave it as a spanning
 forest. Copies share a fingerprint and are one member. Nothing is capped.
 
+``near_copies`` and ``one_of_each_class`` judge by similarity over shingles of five
+words instead, with other positional values; see there.
+
 Edge cases: null or empty texts have fingerprint zero and link like any other;
 texts with fewer words than a shingle hash their whole sequence; repeated rows
 each get their row; a null ``doc_id`` takes part and is never the smallest of a
@@ -48,22 +51,30 @@ def shingle_hashes(words: list[bytes], k: int) -> list[int]:
     return [hash_of(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :])]
 
 
-def fingerprint(raw: bytes, k: int = 3) -> int:
-    """The SimHash of a text's shingles of ``k`` words."""
-    ones, total, carry = np.zeros((8, 8), np.int64), 0, []
+def shingles_of(raw: bytes, k: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of a text, part by part; none if it has no words."""
+    total, carry = 0, []
     for part in common.parts(raw.translate(LOWER)):
         words = carry + part.split()
         if len(words) >= k:
             found = np.array(shingle_hashes(words, k), np.uint64)
-            places = found.view(np.uint8).reshape(-1, 8) + _OFFSETS
-            ones += np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS
             total += len(found)
+            yield found
             carry = words[len(words) - k + 1 :]
         else:
             carry = words
-    if not total:
-        return xxhash.xxh64_intdigest(b" ".join(carry), SEED) if carry else 0
-    return int(_SCALE[(2 * ones.ravel() > total)].sum())
+    if not total and carry:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
+
+
+def fingerprint(raw: bytes, k: int = 3) -> int:
+    """The SimHash of a text's shingles of ``k`` words."""
+    ones, total = np.zeros((8, 8), np.int64), 0
+    for found in shingles_of(raw, k):
+        places = found.view(np.uint8).reshape(-1, 8) + _OFFSETS
+        ones += np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        total += len(found)
+    return int(_SCALE[(2 * ones.ravel() > total)].sum()) if total else 0
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -139,19 +150,14 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return lists.mapInArrow(run, "u long, v long").distinct()
 
 
-def classes_of(docs: DataFrame, k: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Every row's ``doc_id, print, fp``, and every fingerprint's ``fp, label, component_id``."""
+def near_duplicate_classes(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
+    """``doc_id, fp, component_id``: the smallest id reachable over links of ``radius`` bits."""
     prints = common.cut(fingerprints(docs, k))
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(distinct.select("fp"), radius))
     rooted = common.cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     smallest = common.cut(rooted.groupBy("label").agg(F.min("least").alias("component_id")))
-    return prints, common.cut(rooted.join(smallest, "label").select("fp", "label", "component_id"))
-
-
-def near_duplicate_classes(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id reachable over links of ``radius`` bits."""
-    prints, classes = classes_of(docs, k, radius)
+    classes = common.cut(rooted.join(smallest, "label").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -160,14 +166,121 @@ def fingerprint_text(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def one_of_each_class(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each class: the smallest id, null last, then the least hash of the text.
+# --- near copies by similarity ---------------------------------------------------
+#
+# At a similarity of 0.8 over five-word shingles the 64 SimHash bits of two texts differ
+# in about 10 places (4 to 18 measured), so no number of equal bytes is guaranteed and
+# the index above can't find such pairs. Here the positional values are therefore the
+# least hashes of a text's shingles under seeded permutations, which agree with a
+# probability equal to the similarity. They are indexed alike: a posting list for each
+# run of ``VALUES`` positions and its values; pairs that meet are verified exactly.
+
+#: Posting lists of a text, and positional values in each: at 0.8 a pair shares none with probability 0.00007.
+LISTS, VALUES = 24, 5
+_ODD = np.array([xxhash.xxh64_intdigest(b"odd", i) | 1 for i in range(LISTS * VALUES)], np.uint64)
+_XOR = np.array([xxhash.xxh64_intdigest(b"xor", i) for i in range(LISTS * VALUES)], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SLICE = 2_048
+
+
+def signature(raw: bytes, k: int) -> tuple[int, np.ndarray]:
+    """A hash of the set of a text's shingles, and the values of its posting lists (none without words)."""
+    found = list(shingles_of(raw, k))
+    if not found:
+        return 0, np.zeros(0, np.uint64)
+    least, hashes = np.full(LISTS * VALUES, ~np.uint64(0)), np.unique(np.concatenate(found))
+    for i in range(0, len(hashes), _SLICE):
+        least = np.minimum(least, ((hashes[i : i + _SLICE, None] ^ _XOR) * _ODD).min(axis=0))
+    value = np.zeros(LISTS, np.uint64)
+    for column in least.reshape(LISTS, VALUES).T:
+        value = (value ^ column) * _MIX
+        value ^= value >> np.uint64(29)
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), value
+
+
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, print, node, lists`` of every row: hashes of its text and of its shingles, its posting lists."""
+    common.bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [signature(x.as_buffer().to_pybytes() if x.is_valid else b"", k) for x in batch.column(2)]
+            nodes = pa.array(np.array([n for n, _ in made], np.uint64).view(np.int64))
+            flat = np.concatenate([np.zeros(0, np.uint64), *(v for _, v in made)]).view(np.int64)
+            ends = np.cumsum([0, *(len(v) for _, v in made)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "print", "node", "lists"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, print long, node long, lists array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The ``u, v`` of ``pairs`` whose texts (``node, raw``) have shared over all shingles of at least ``similarity``."""
+    # u, which may be the centre of very many pairs, joins last: its pairs stand together
+    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("raw").alias("a")), "u")
 
-    Rows are told apart by id and text; of rows equal in both one stays.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
+        of = lambda x: np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles_of(x.as_buffer().to_pybytes(), k)]))
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if u != last:
+                    last, left = u, of(a)
+                right = of(b)
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(shared >= similarity * (len(left) + len(right) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``doc_id, print, node``, and every node's ``node, label``: its class of near copies.
+
+    A node is a set of shingles, so texts that differ in case, white space or repeated
+    shingles are one. In each turn every posting list picks one member, the centre, and
+    links to it the members of other classes; the links are verified, classes are formed,
+    and lists whose members now are of one class are done. Centres are the same in all
+    lists at first, so a large group of copies is linked to few, and drawn anew in each list
+    later. Turns end when one finds no link, two at least. Work is linear in the lists; two
+    texts stay apart only if they share no list, or are never joined by a centre or a chain.
+    """
+    prints = common.written(signatures(docs, k), "signatures")
+    nodes = common.cut(prints.groupBy("node").agg(F.min("print").alias("print"), F.first("lists").alias("lists")))
+    posted = nodes.select("node", F.posexplode("lists").alias("choice", "value"))
+    company = posted.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    posted = common.written(posted.join(company, ["choice", "value"], "left_semi"), "posted")
+    members = common.cut(posted.select("node").distinct().join(nodes.select("node", "print"), "node"))
+    rows = docs.select(F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
+    texts = common.written(rows.join(common.maybe_broadcast(members), "print").groupBy("node").agg(F.first("raw").alias("raw")), "texts")
+
+    found, labels, turn = None, nodes.select("node", F.col("node").alias("label")), 0
+    while True:
+        placed = posted.join(labels, "node")
+        order = F.xxhash64("node") if turn == 0 else F.xxhash64(F.lit(turn), "choice", "node")
+        first = F.min(F.struct(order.alias("order"), F.col("node").alias("centre"), F.col("label").alias("own"))).alias("first")
+        lists = placed.groupBy("choice", "value").agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        lists = common.cut(lists.select("choice", "value", "first.centre", "first.own"))
+        pairs = placed.join(lists, ["choice", "value"]).where(F.col("label") != F.col("own"))
+        met = common.cut(verified(common.cut(pairs.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()), texts, k, similarity))
+        turn += 1
+        if not met.isEmpty():
+            found = met if found is None else common.cut(found.unionByName(met))
+            known = components(found)
+            labels = common.cut(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        elif turn > 1:
+            return prints.drop("lists"), labels
+
+
+def one_of_each_class(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class of near copies: the smallest id, null last, then the least hash of the text.
+
+    Rows are told apart by id and text; of rows equal in both one stays. Texts without words are one class.
     """
     last = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
-    prints, classes = classes_of(docs, k, radius)
-    first = prints.groupBy("fp").agg(F.min(last()).alias("first")).join(classes.select("fp", "label"), "fp").groupBy("label").agg(F.min("first").alias("first"))
+    prints, labels = near_copies(docs, k, similarity)
+    first = prints.groupBy("node").agg(F.min(last()).alias("first")).join(labels, "node").groupBy("label").agg(F.min("first").alias("first"))
     kept = common.cut(first.select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.print").alias("__print")))
     keys = ["__id", "__none", "__print"]
     rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__print": F.xxhash64("text")})

@@ -267,3 +267,53 @@ def test_near_duplicate_classes(spark):
     want = brute_classes(prints, 2)
     assert sorted((r["doc_id"], r["f"], r["component_id"]) for r in rows) == [(i, f"{prints[i]:016x}", want[i]) for i in range(len(texts))]
     assert near_duplicate_classes(docs_of(spark, texts).where(F.lit(False))).count() == 0
+
+
+def brute_copies(texts, k=5, similarity=0.8):
+    def shingles(text):
+        ws = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or shared and shared >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    from meshweave.llm import common, simhash
+
+    rng = np.random.default_rng(12)
+    vocab = ["w%d" % i for i in range(500)]
+    texts = [None, "", " ", "one", "One", "two words", "two  words", "five words are here now", "five words are here Now x"]
+    shared = " ".join(rng.choice(vocab, 60))
+    for _ in range(12):  # groups of edited copies, some beyond the limit; a passage many share
+        base = list(rng.choice(vocab, int(rng.integers(20, 200))))
+        for _ in range(int(rng.integers(1, 9))):
+            copy = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(0, 2 + len(base) // 30))):
+                copy[at] = "edit%d" % rng.integers(1000)
+            texts.append(" ".join(copy))
+        texts.append(" ".join(rng.choice(vocab, 50)) + " " + shared)
+    texts += texts[20:25]
+    docs = docs_of(spark, texts)
+    want = brute_copies(texts)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    kept = simhash.one_of_each_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert len(set(want)) < len(texts) - 20
+    assert simhash.one_of_each_class(docs.where(F.lit(False))).count() == 0
+    twice = docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r["doc_id"] for r in simhash.one_of_each_class(twice.unionAll(twice)).collect()] == [None]
