@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -177,6 +178,8 @@ def fingerprint_text(column: str = "fp"):
 
 #: Posting lists of a text, and positional values in each: at 0.8 a pair shares none with probability 0.00007.
 LISTS, VALUES = 24, 5
+#: Centres of a list in all turns but the first.
+CENTRES = 8
 _ODD = np.array([xxhash.xxh64_intdigest(b"odd", i) | 1 for i in range(LISTS * VALUES)], np.uint64)
 _XOR = np.array([xxhash.xxh64_intdigest(b"xor", i) for i in range(LISTS * VALUES)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -239,12 +242,13 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
     """Every row's ``doc_id, print, node``, and every node's ``node, label``: its class of near copies.
 
     A node is a set of shingles, so texts that differ in case, white space or repeated
-    shingles are one. In each turn every posting list picks one member, the centre, and
-    links to it the members of other classes; the links are verified, classes are formed,
-    and lists whose members now are of one class are done. Centres are the same in all
-    lists at first, so a large group of copies is linked to few, and drawn anew in each list
-    later. Turns end when one finds no link, two at least. Work is linear in the lists; two
-    texts stay apart only if they share no list, or are never joined by a centre or a chain.
+    shingles are one. In each turn the posting lists that hold several classes pick
+    centres, link to them the members of other classes, and links not tried before are
+    verified. The first turn takes one centre, by an order that all lists share, so a large
+    group of copies is linked to few; later ones take ``CENTRES``, drawn anew, which in lists
+    of no more members is every pair. Turns end when one finds no link, two at least. Work
+    is linear in the lists; two texts stay apart only if they share no list, or only longer
+    lists in which no centre or chain joins them.
     """
     prints = common.written(signatures(docs, k), "signatures")
     nodes = common.cut(prints.groupBy("node").agg(F.min("print").alias("print"), F.first("lists").alias("lists")))
@@ -255,20 +259,27 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
     rows = docs.select(F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
     texts = common.written(rows.join(common.maybe_broadcast(members), "print").groupBy("node").agg(F.first("raw").alias("raw")), "texts")
 
-    found, labels, turn = None, nodes.select("node", F.col("node").alias("label")), 0
+    labels, tried, turn = nodes.select("node", F.col("node").alias("label")), None, 0
     while True:
         placed = posted.join(labels, "node")
-        order = F.xxhash64("node") if turn == 0 else F.xxhash64(F.lit(turn), "choice", "node")
-        first = F.min(F.struct(order.alias("order"), F.col("node").alias("centre"), F.col("label").alias("own"))).alias("first")
-        lists = placed.groupBy("choice", "value").agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        lists = common.cut(lists.select("choice", "value", "first.centre", "first.own"))
-        pairs = placed.join(lists, ["choice", "value"]).where(F.col("label") != F.col("own"))
-        met = common.cut(verified(common.cut(pairs.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()), texts, k, similarity))
+        mixed = placed.groupBy("choice", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("choice", "value")
+        placed = common.cut(placed.join(mixed, ["choice", "value"], "left_semi"))
+        posted = placed.drop("label")
+        order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "choice", "node")
+        place = F.row_number().over(Window.partitionBy("choice", "value").orderBy(order, "node"))  # each task keeps its first few of a list
+        centres = placed.withColumn("place", place).where(F.col("place") <= (CENTRES if turn else 1))
+        centres = common.cut(centres.select("choice", "value", F.struct("node", "label").alias("centre")))
+        pairs = placed.select("choice", "value", F.struct("node", "label").alias("member")).join(centres, ["choice", "value"]).where("member.label <> centre.label")
+        pairs = pairs.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b"))
+        pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.label").alias("from"), F.col("b.label").alias("to")).distinct()
+        pairs = common.cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        now = pairs.select("u", "v")
+        tried = now if tried is None else tried.unionByName(now)
+        met = common.cut(verified(now, texts, k, similarity).join(pairs, ["u", "v"]).select(F.col("from").alias("u"), F.col("to").alias("v")).distinct())
         turn += 1
         if not met.isEmpty():
-            found = met if found is None else common.cut(found.unionByName(met))
-            known = components(found)
-            labels = common.cut(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+            merged = components(met).select(F.col("node").alias("label"), F.col("label").alias("new"))
+            labels = common.cut(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
         elif turn > 1:
             return prints.drop("lists"), labels
 
