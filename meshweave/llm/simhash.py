@@ -13,7 +13,7 @@ the corpus; within it, links are found by looking up every flip of at most
 forest. Copies share a fingerprint and are one member. Nothing is capped.
 
 ``near_copies`` and ``one_of_each_class`` judge by similarity over shingles of five
-words instead, with other positional values; see there.
+words instead, through an exact prefix index; see there.
 
 Edge cases: null or empty texts have fingerprint zero and link like any other;
 texts with fewer words than a shingle hash their whole sequence; repeated rows
@@ -171,117 +171,193 @@ def fingerprint_text(column: str = "fp"):
 #
 # At a similarity of 0.8 over five-word shingles the 64 SimHash bits of two texts differ
 # in about 10 places (4 to 18 measured), so no number of equal bytes is guaranteed and
-# the index above can't find such pairs. Here the positional values are therefore the
-# least hashes of a text's shingles under seeded permutations, which agree with a
-# probability equal to the similarity. They are indexed alike: a posting list for each
-# run of ``VALUES`` positions and its values; pairs that meet are verified exactly.
-
-#: Posting lists of a text, and positional values in each: at 0.8 a pair shares none with probability 0.00007.
-LISTS, VALUES = 24, 5
-#: Centres of a list in all turns but the first.
-CENTRES = 8
-_ODD = np.array([xxhash.xxh64_intdigest(b"odd", i) | 1 for i in range(LISTS * VALUES)], np.uint64)
-_XOR = np.array([xxhash.xxh64_intdigest(b"xor", i) for i in range(LISTS * VALUES)], np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 2_048
-
-
-def signature(raw: bytes, k: int) -> tuple[int, np.ndarray]:
-    """A hash of the set of a text's shingles, and the values of its posting lists (none without words)."""
-    found = list(shingles_of(raw, k))
-    if not found:
-        return 0, np.zeros(0, np.uint64)
-    least, hashes = np.full(LISTS * VALUES, ~np.uint64(0)), np.unique(np.concatenate(found))
-    for i in range(0, len(hashes), _SLICE):
-        least = np.minimum(least, ((hashes[i : i + _SLICE, None] ^ _XOR) * _ODD).min(axis=0))
-    value = np.zeros(LISTS, np.uint64)
-    for column in least.reshape(LISTS, VALUES).T:
-        value = (value ^ column) * _MIX
-        value ^= value >> np.uint64(29)
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), value
-
-
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, print, node, lists`` of every row: hashes of its text and of its shingles, its posting lists."""
+# the index above can't find such pairs. Here the index is an exact prefix filter: all
+# texts order their shingles alike, rare ones first, and post the first
+# ``n - ceil(similarity * n) + 1`` of their ``n``. Two texts at ``similarity`` share at least
+# ``ceil(similarity * n)`` of either's, so the first they share is posted by both: every
+# such pair meets in a list. Pairs that meet are ruled out by bounds or verified.
+
+#: The order counts shingles in about so many texts and knows at most so many common ones. It decides how long lists get, not what is found.
+SAMPLE, COMMON = 5_000, 200_000
+#: Turns by centres, and centres of a list in all of them but the first.
+CENTRE_TURNS, CENTRES = 2, 8
+#: Members of a list in a block of the exact turn.
+BLOCK = 256
+#: Longs of a node's parities.
+_WIDTH = 16
+
+
+def shingle_set(raw: bytes, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, as signed longs."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles_of(raw, k)])).view(np.int64)
+
+
+def _bytes(x: pa.Scalar) -> bytes:
+    return x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles of a sample of the texts, ascending, and the number of texts that hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_bytes(x), k))], names=["h"])
+
+    share = docs.count() // SAMPLE + 1
+    sample = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(share)) == 0).select(F.col("text").cast("binary").alias("raw"))
+    counts = common.cut(sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    least, total = 2, 0
+    for n, many in sorted(counts.groupBy("n").agg(F.count("*")).collect(), reverse=True):  # no more rows than a sample has texts
+        total += many
+        if total > COMMON:
+            least = n + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    keys, n = found.column("h").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(shingles: np.ndarray, keys: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set that it posts, in the order of all texts: by count, then by hash."""
+    if not len(shingles):
+        return shingles
+    n = np.zeros(len(shingles), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        n = np.where(keys[at] == shingles, counts[at], 0)
+    most = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1
+    return shingles[np.lexsort((shingles, n))[:most]]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``64 * _WIDTH`` remainders, a bit: whether an odd number of hashes have it."""
+    bits = np.bincount(shingles & (64 * _WIDTH - 1), minlength=64 * _WIDTH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``doc_id, print, node, size, lists, parity`` of every row: hashes of its text and of its set of shingles, and of the set its size, posting lists and parities."""
     common.bound_batches(docs.sparkSession)
+    order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = order.value
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            made = [signature(x.as_buffer().to_pybytes() if x.is_valid else b"", k) for x in batch.column(2)]
-            nodes = pa.array(np.array([n for n, _ in made], np.uint64).view(np.int64))
-            flat = np.concatenate([np.zeros(0, np.uint64), *(v for _, v in made)]).view(np.int64)
-            ends = np.cumsum([0, *(len(v) for _, v in made)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "print", "node", "lists"])
+            nodes, sizes, lists, parity = [], [], [], []
+            for x in batch.column(2):
+                held = shingle_set(_bytes(x), k)
+                nodes.append(xxhash.xxh64_intdigest(held.tobytes(), SEED) if len(held) else 0)
+                sizes.append(len(held))
+                lists.append(prefix(held, keys, counts, similarity))
+                parity.append(parities(held))
+            arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
+            arrays += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([none, *x]))) for x in (lists, parity)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "print", "node", "size", "lists", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, print long, node long, lists array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
+    return rows.mapInArrow(run, f"doc_id {kind}, print long, node long, size int, lists array<long>, parity array<long>")
+
+
+def least_shared(similarity: float) -> float:
+    """The part of the sum of two sizes that sets at ``similarity`` share at least."""
+    return similarity / (1 + similarity)
+
 
+def centre_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: members of each list with its centres of other classes, the lesser node first."""
+    order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "value", "node")
+    nth = F.row_number().over(Window.partitionBy("value").orderBy(order, "node"))  # each task keeps its first few of a list
+    centres = placed.withColumn("nth", nth).where(F.col("nth") <= (CENTRES if turn else 1))
+    centres = common.cut(centres.select("value", F.struct("node", "label").alias("centre")))
+    pairs = placed.select("value", F.struct("node", "label").alias("member")).join(centres, "value").where("member.label <> centre.label")
+    return pairs.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b"))
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The ``u, v`` of ``pairs`` whose texts (``node, raw``) have shared over all shingles of at least ``similarity``."""
+
+def all_pairs(placed: DataFrame) -> DataFrame:
+    """``a, b``: every pair of members of a list in different classes, the lesser node first.
+
+    A list is dealt over blocks of about ``BLOCK`` members, and each two blocks meet at a
+    key of their own.
+    """
+    blocks = placed.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, "value").withColumn("own", F.pmod(F.xxhash64("value", "node"), F.col("blocks")).cast("int"))
+    side = lambda own, other, to, name: dealt.select("value", F.col("own").alias(own), F.explode(to).alias(other), F.struct("node", "label").alias(name))
+    left, right = side("i", "j", F.sequence("own", F.col("blocks") - 1), "a"), side("j", "i", F.sequence(F.lit(0), "own"), "b")
+    pairs = left.join(right, ["value", "i", "j"]).where((F.col("a.label") != F.col("b.label")) & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose sizes and parities allow ``similarity``: two sets differ in at least as many shingles as sizes or parities."""
+    of = lambda node, end: nodes.select(F.col("node").alias(node), F.col("size").alias(f"size_{end}"), F.col("parity").alias(f"parity_{end}"))
+    apart = sum((F.bit_count(F.get("parity_b", F.lit(i)).bitwiseXOR(F.get("parity_a", F.lit(i)))) for i in range(_WIDTH)), F.lit(0))
+    most = (1 - 2 * least_shared(similarity)) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    return pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").where((F.abs(F.col("size_a") - F.col("size_b")) <= most) & (apart <= most)).select(*pairs.columns)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``u, v, from, to``) whose texts have shared over all shingles of at least ``similarity``."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = common.cut(nodes.select("node", "print").join(wanted, "node"))
+    rows = docs.select(F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
+    texts = common.written(rows.join(common.maybe_broadcast(wanted), "print").groupBy("node").agg(F.first("raw").alias("raw")), "texts")
     # u, which may be the centre of very many pairs, joins last: its pairs stand together
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("raw").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
-        of = lambda x: np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles_of(x.as_buffer().to_pybytes(), k)]))
         for batch in batches:
             keep = []
-            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5)):
                 if u != last:
-                    last, left = u, of(a)
-                right = of(b)
+                    last, left = u, shingle_set(_bytes(a), k)
+                right = shingle_set(_bytes(b), k)
                 shared = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(shared >= similarity * (len(left) + len(right) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["u", "v", "from", "to"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "from", "to", "a", "b").mapInArrow(run, "u long, v long, from long, to long")
 
 
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Every row's ``doc_id, print, node``, and every node's ``node, label``: its class of near copies.
 
     A node is a set of shingles, so texts that differ in case, white space or repeated
-    shingles are one. In each turn the posting lists that hold several classes pick
-    centres, link to them the members of other classes, and links not tried before are
-    verified. The first turn takes one centre, by an order that all lists share, so a large
-    group of copies is linked to few; later ones take ``CENTRES``, drawn anew, which in lists
-    of no more members is every pair. Turns end when one finds no link, two at least. Work
-    is linear in the lists; two texts stay apart only if they share no list, or only longer
-    lists in which no centre or chain joins them.
+    shingles are one. The first turns only save work: lists that hold several classes pick
+    centres and link to them the members of other classes that verify. The first takes one
+    centre, by an order that all lists share, so a large group of copies is linked to
+    few; the next takes ``CENTRES``, drawn anew. The last turn is exact: every pair of
+    different classes that a list still holds is ruled out by a bound or verified.
     """
-    prints = common.written(signatures(docs, k), "signatures")
-    nodes = common.cut(prints.groupBy("node").agg(F.min("print").alias("print"), F.first("lists").alias("lists")))
-    posted = nodes.select("node", F.posexplode("lists").alias("choice", "value"))
-    company = posted.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    posted = common.written(posted.join(company, ["choice", "value"], "left_semi"), "posted")
-    members = common.cut(posted.select("node").distinct().join(nodes.select("node", "print"), "node"))
-    rows = docs.select(F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
-    texts = common.written(rows.join(common.maybe_broadcast(members), "print").groupBy("node").agg(F.first("raw").alias("raw")), "texts")
-
-    labels, tried, turn = nodes.select("node", F.col("node").alias("label")), None, 0
-    while True:
-        placed = posted.join(labels, "node")
-        mixed = placed.groupBy("choice", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("choice", "value")
-        placed = common.cut(placed.join(mixed, ["choice", "value"], "left_semi"))
-        posted = placed.drop("label")
-        order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "choice", "node")
-        place = F.row_number().over(Window.partitionBy("choice", "value").orderBy(order, "node"))  # each task keeps its first few of a list
-        centres = placed.withColumn("place", place).where(F.col("place") <= (CENTRES if turn else 1))
-        centres = common.cut(centres.select("choice", "value", F.struct("node", "label").alias("centre")))
-        pairs = placed.select("choice", "value", F.struct("node", "label").alias("member")).join(centres, ["choice", "value"]).where("member.label <> centre.label")
-        pairs = pairs.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b"))
+    prints = common.written(prefixes(docs, k, similarity), "prefixes")
+    nodes = prints.groupBy("node").agg(*[F.min("print").alias("print"), *(F.first(c).alias(c) for c in ("size", "lists", "parity"))])
+    nodes = common.written(nodes, "nodes")
+    posted = nodes.select("node", F.explode("lists").alias("value"))
+    company = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    posted = common.written(posted.join(company, "value", "left_semi"), "posted")
+    nodes = nodes.drop("lists")
+
+    labels = nodes.select("node", F.col("node").alias("label"))
+    for turn in range(CENTRE_TURNS + 1):
+        if turn == 0:  # every node is a class
+            placed = posted.withColumn("label", F.col("node"))
+        else:
+            placed = posted.join(labels, "node")
+            mixed = placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
+            placed = common.cut(placed.join(mixed, "value", "left_semi"))
+            posted = placed.drop("label")
+        pairs = centre_pairs(placed, turn) if turn < CENTRE_TURNS else all_pairs(placed)
         pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.label").alias("from"), F.col("b.label").alias("to")).distinct()
-        pairs = common.cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        now = pairs.select("u", "v")
-        tried = now if tried is None else tried.unionByName(now)
-        met = common.cut(verified(now, texts, k, similarity).join(pairs, ["u", "v"]).select(F.col("from").alias("u"), F.col("to").alias("v")).distinct())
-        turn += 1
+        pairs = common.cut(possible(pairs, nodes, similarity))
+        met = common.cut(verified(pairs, nodes, docs, k, similarity).select(F.col("from").alias("u"), F.col("to").alias("v")).distinct())
         if not met.isEmpty():
             merged = components(met).select(F.col("node").alias("label"), F.col("label").alias("new"))
             labels = common.cut(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
-        elif turn > 1:
-            return prints.drop("lists"), labels
+    return prints.select("doc_id", "print", "node"), labels
 
 
 def one_of_each_class(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -317,3 +317,32 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert simhash.one_of_each_class(docs.where(F.lit(False))).count() == 0
     twice = docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long"))
     assert [r["doc_id"] for r in simhash.one_of_each_class(twice.unionAll(twice)).collect()] == [None]
+
+
+def test_near_copies_in_hot_lists(spark, monkeypatch):
+    """Hundreds of texts below the limit around one passage, with pairs among them, and stars of edited copies."""
+    from meshweave.llm import simhash
+
+    rng = np.random.default_rng(21)
+    pick = lambda n: ["u%d" % x for x in rng.integers(0, 10**9, n)]
+    passage, texts = pick(240), []
+    for i in range(300):
+        own = pick(40)
+        texts.append(" ".join(passage + own))
+        if i % 10 == 0:  # of the pair's 40 own words some differ
+            texts.append(" ".join(passage + own[: int(rng.integers(8, 30))] + pick(15)))
+    for _ in range(3):  # copies are within the limit of the hub only
+        hub = pick(200)
+        texts.append(" ".join(hub))
+        for _ in range(60):
+            copy = list(hub)
+            for at in rng.choice(np.arange(5, 195, 6), 3, replace=False):
+                copy[at] = pick(1)[0]
+            texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    want = brute_copies(texts)
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    got = simhash.one_of_each_class(docs_of(spark, texts))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
+    assert 250 < len(set(want)) < len(texts) - 180
