@@ -12,6 +12,8 @@ over the sum of the larger multiplicities.
    ``radius + 1`` blocks; by the pigeonhole principle all pairs within ``radius`` bits
    agree on a block, so an equi-join on (words, block, value) finds every one of them.
 3. The exact similarity verifies each pair.
+4. Items of fewer than five words are one shingle. The documents' runs of as many words
+   meet them in an equi-join of their own; an equal run has a similarity of 1, others of 0.
 
 Windows that reach the similarity differ from the item by about 10 of 64 bits at
 0.8 and less above; the default radius of 24 lies five standard deviations beyond.
@@ -21,7 +23,7 @@ The benchmark's shingles are broadcast only if, counted, they are few
 texts with candidate windows.
 
 Edge cases: null or empty texts and items have no words and match nothing; items of
-fewer than five words are one shingle, their whole sequence; texts are
+fewer than five words count wherever their whole sequence stands; texts are
 judged by their content, so rows that repeat an id or a text each get their own
 result, null ids too; an empty table gives an empty result; other columns pass
 through ``clean``.
@@ -107,9 +109,27 @@ def candidate_windows(docs: DataFrame, items: DataFrame, similarity: float) -> D
     return places.select("print", "n_words", "w", F.explode_outer(F.array_distinct(starts)).alias("start")).where("start is not null").distinct()
 
 
+def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The hits of items of fewer than ``SHINGLE`` words, as ``text_hits`` has them; none if there are no such items."""
+    short = common.cut(items.where(F.col("n_words") < SHINGLE).select("item_id", "n_words", F.get("item", F.lit(0)).alias("h")))
+    sizes = sorted(r["n_words"] for r in short.select("n_words").distinct().collect())
+    if not sizes:
+        return None
+    rows = docs.select(F.xxhash64("text").alias("print"), F.transform(words_of(common.text_of("text")), lambda w: F.xxhash64(w)).alias("words"))
+
+    def runs(n: int) -> Column:
+        run = lambda i: F.struct(F.lit(n).alias("n_words"), i.alias("p"), F.xxhash64(*[F.get("words", i + k) for k in range(n)]).alias("h"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), run), lambda x: x["p"] + n <= F.size("words"))
+
+    placed = rows.select("print", F.explode_outer(F.concat(*map(runs, sizes))).alias("x")).select("print", "x.*")
+    met = placed.join(common.maybe_broadcast(short), ["n_words", "h"])
+    return met.groupBy("print", "item_id").agg(F.min("p").alias("start_word")).withColumn("similarity", F.lit(1.0))
+
+
 def text_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """``print, item_id, start_word, similarity``: the best window of each pair of a text (its hash) and an item."""
-    items = items_of(benchmark, radius)
+    all_items = items_of(benchmark, radius)
+    short, items = short_hits(docs, all_items), all_items.where(F.col("n_words") >= SHINGLE)
     found = common.cut(candidate_windows(docs, items, similarity))
     prints = common.cut(found.select("print").distinct())
     texts = docs.select("text").withColumn("print", F.xxhash64("text")).join(common.maybe_broadcast(prints), "print")
@@ -123,7 +143,8 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, ra
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.array_position(agrees, F.lit(True)) == F.col("block") + 1))
     pairs = pairs.withColumn("similarity", weighted_similarity("window", "item")).where(F.col("similarity") >= similarity)
     best = pairs.groupBy("print", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))
-    return common.cut(best.select("print", "item_id", (-F.col("best.start")).alias("start_word"), F.col("best.similarity").alias("similarity")))
+    hits = best.select("print", "item_id", (-F.col("best.start")).alias("start_word"), F.col("best.similarity").alias("similarity"))
+    return common.cut(hits if short is None else hits.unionByName(short))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -57,3 +57,27 @@ def test_equals_all_windows(spark):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert contaminated(docs.where(F.lit(False)), benchmark).count() == 0 == contaminated(docs, benchmark.where(F.lit(False))).count()
+
+
+def test_short_items_inside_documents(spark):
+    """Items of one to four words, against all windows of as many words."""
+    from meshweave.llm.decontaminate import clean, contaminated
+
+    rng = np.random.default_rng(8)
+    vocab = ["V%d" % i for i in range(9)]
+    pick = lambda n: " ".join(rng.choice(vocab, n))
+    items = ["lone", "V1 V2", "V3 v4 V5", "V1 V2 V3 V4", "V1 V1 V1 V1", "V2\tV2", None, "", pick(20)]
+    texts = [None, "", "lone", "v1", "V1 V2", "v3 V4 v5 v6 v1 v2 v3 V4", pick(60) + " LONE", items[8] + " x", *(pick(int(n)) for n in rng.integers(1, 90, 30))]
+    docs = docs_of(spark, texts)
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items[:6]):
+            words, wanted = lowered(text), lowered(item)
+            starts = [s for s in range(len(words) - len(wanted) + 1) if words[s : s + len(wanted)] == wanted]
+            if starts:
+                want[d, i] = (starts[0], 1.0)
+    want[7, 8] = (0, 1.0)
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in contaminated(docs, benchmark).collect()}
+    assert got == want and len({i for _, i in want}) > 5  # items of each length
+    assert {r["doc_id"] for r in clean(docs, benchmark).collect()} == set(range(len(texts))) - {d for d, _ in want}
