@@ -54,13 +54,36 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage, by a reliable checkpoint.
 
-    Every executor can read the copy, so a lost executor costs no recomputation;
-    Spark removes it when the frame is no longer referenced.
+    Every executor can read the copy, so a lost executor costs no recomputation. The files
+    go with ``release``, or all together when the driver ends.
     """
     shared_dir(df.sparkSession)
+    _clear_at_exit(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_CLEARED: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    """Remove this application's own checkpoint folder when the driver ends."""
+    own = spark.sparkContext.getCheckpointDir()
+    if own and own not in _CLEARED:
+        _CLEARED.add(own)
+        atexit.register(_remove, spark, own)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames of ``cut`` and ``written`` that nothing will read again."""
+    for df in frames:
+        path = df.__dict__.get("_stored_at")
+        if path is None:
+            file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+            path = file.get() if file.isDefined() else None
+        if path is not None:
+            remove_path(df.sparkSession, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -86,7 +109,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once, as a Parquet table in the shared folder, and reread it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
 
 
 def text_of(column: str | Column) -> Column:
@@ -121,7 +146,7 @@ def parts(raw: bytes) -> Iterator[bytes]:
 
 
 #: The most rows, of a few numbers each, that a computed frame may have to be broadcast.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 150_000
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """SimHash near-duplicate classes through a byte-position inverted index.
 
 A fingerprint of 64 bits is 8 positional bytes. Two fingerprints that differ in at
-most ``radius`` bits share at least ``8 - radius`` of them, so the index has one
-posting list for every choice of that many positions and their bytes: a pair
-meets in a list exactly if its tally of shared positional bytes reaches the
-guaranteed minimum. Inside a list pairs are verified bit by bit.
-
-A list holds *distinct* fingerprints that agree on ``8 - radius`` bytes, so it
-never has more than ``2 ** (8 * radius)`` members (65,536 for radius 2), whatever
-the corpus; within it, links are found by looking up every flip of at most
-``radius`` of the free bits, in time linear in the list, and leave it as a spanning
-forest. Copies share a fingerprint and are one member. Nothing is capped.
+most ``radius`` bits share at least ``8 - radius`` of them. Posting lists go by the byte
+values at positions; as a pair misses at most ``radius`` positions, the first ``DEPTH``
+that it shares are among ``chosen_positions``, and it meets in one of those lists. In a list
+every pair's shared positional bytes are tallied, pairs that reach the guaranteed minimum
+are retained, and their bits verified.
+
+A list of over ``LIGHT`` members is not tallied but split by the next position that its
+pairs can share, level by level. At the last level a list agrees in ``8 - radius`` bytes, so it
+has at most ``2 ** (8 * radius)`` members (65,536 for radius 2), whatever the corpus; its links
+are found by looking up flips of the free bits, in time linear in the list. Lists leave
+their links as a forest of binary trees, so no fingerprint becomes a hub. Copies share a
+fingerprint and are one member. Nothing is capped.
 
 ``near_copies`` and ``one_of_each_class`` judge by similarity over shingles of five
 words instead, through an exact prefix index; see there.
@@ -31,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -39,6 +40,8 @@ from .components import components
 #: A-Z to a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
+#: Positions by which lists are first formed, and members up to which a list is tallied.
+DEPTH, LIGHT = 3, 256
 _OFFSETS = np.arange(8) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SCALE = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -91,23 +94,60 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, print long, fp long")
 
 
-def index_masks(radius: int) -> list[int]:
-    """For each choice of ``8 - radius`` positions, the mask of their bytes, as a signed long."""
-    masks = [sum(0xFF << (8 * i) for i in chosen) for chosen in combinations(range(8), 8 - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+# --- the byte-position index -------------------------------------------------------
+
+
+def chosen_positions(depth: int, radius: int) -> list[tuple[int, ...]]:
+    """The first ``depth`` byte positions that a pair sharing all but ``radius`` of the 8 can agree in."""
+    return [c for c in combinations(range(8), depth) if c[-1] - depth + 1 <= radius]
+
+
+def mask_of(positions: tuple[int, ...]) -> int:
+    """The mask of the bytes at these positions, as a signed long."""
+    mask = sum(0xFF << (8 * i) for i in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def forest(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that connect each class, as a binary tree: no position is in more than three."""
+    order = np.argsort(classes, kind="stable")
+    ordered = classes[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    nth = np.arange(len(order)) - start
+    child = np.nonzero(nth)[0]
+    return order[start[child] + (nth[child] - 1) // 2], order[child]
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least position of each position's class over the links ``a, b``."""
+    label = np.arange(n)
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
-def list_links(members: np.ndarray, free: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def list_links(members: np.ndarray, radius: int, free: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in one posting list: pairs of its members.
 
-    ``free`` marks the bits in which members of the list can differ.
+    Short lists tally the positional bytes that each pair shares and verify the bits of
+    the pairs that reach ``8 - radius``. In long ones, which agree in that many bytes anyway,
+    every flip of at most ``radius`` of the ``free`` bits is looked up.
     """
     members = np.unique(members.view(np.uint64))
     n = len(members)
     left, right = [], []
-    if n <= 256:
-        a, b = np.nonzero(np.triu(np.bitwise_count(members[:, None] ^ members[None, :]) <= radius, 1))
-        left, right = [a], [b]
+    if n <= LIGHT:
+        octets = members.view(np.uint8).reshape(n, 8)
+        tally = (octets[:, None, :] == octets[None, :, :]).sum(2)
+        a, b = np.nonzero(np.triu(tally >= 8 - radius, 1))
+        near = np.bitwise_count(members[a] ^ members[b]) <= radius
+        left, right = [a[near]], [b[near]]
     else:
         bits = [1 << i for i in range(64) if free >> i & 1]
         for count in range(1, radius + 1):
@@ -117,38 +157,48 @@ def list_links(members: np.ndarray, free: int, radius: int) -> tuple[np.ndarray,
                 found = np.nonzero((members[at] == other) & (members < other))[0]
                 left.append(found)
                 right.append(at[found])
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = np.arange(n)
-    while len(a):  # the least member of each class within the list
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            break
-    linked = np.nonzero(label != np.arange(n))[0]
-    return members[label[linked]].view(np.int64), members[linked].view(np.int64)
+    u, v = forest(least_labels(n, np.concatenate(left), np.concatenate(right)))
+    return members[u].view(np.int64), members[v].view(np.int64)
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """``u, v``: links that connect all fingerprints within ``radius`` bits of each other.
-
-    ``distinct`` has one row per fingerprint, in column ``fp``.
-    """
-    masks = index_masks(radius)
-    posted = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bytes"))
-    lists = posted.groupBy("choice", "bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("choice", "members")
+def _links_of_lists(lists: DataFrame, free: list[int], radius: int) -> DataFrame:
+    """``u, v`` of the posting lists ``choice, members``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for choice, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-                a, b = list_links(members.values.to_numpy(zero_copy_only=False), ~masks[choice] & ((1 << 64) - 1), radius)
+                a, b = list_links(members.values.to_numpy(zero_copy_only=False), radius, free[choice])
                 u.append(a)
                 v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    return lists.mapInArrow(run, "u long, v long").distinct()
+    return lists.select("choice", "members").mapInArrow(run, "u long, v long")
+
+
+def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """``u, v``: links that connect all fingerprints within ``radius`` bits of each other.
+
+    ``distinct`` has one row per fingerprint, in column ``fp``.
+    """
+    last = 8 - radius
+    depth = min(DEPTH, last)
+    posted, found = distinct.select("fp"), None
+    while True:
+        choices = chosen_positions(depth, radius)
+        own = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(c))) for c in choices])).alias("choice", "bytes")
+        rows = posted.select("fp", own)
+        counts = common.cut(rows.groupBy("choice", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
+        held = rows.join(common.maybe_broadcast(counts), ["choice", "bytes"])
+        ready = held if depth == last else held.where(F.col("n") <= LIGHT)
+        lists = ready.groupBy("choice", "bytes").agg(F.collect_list("fp").alias("members"))
+        free = [~mask_of(c) & ((1 << 64) - 1) for c in choices]
+        made = common.cut(_links_of_lists(lists, free, radius))
+        found = made if found is None else found.unionByName(made)
+        if depth == last or counts.where(F.col("n") > LIGHT).isEmpty():
+            return found.distinct()
+        posted = common.cut(held.where(F.col("n") > LIGHT).select("fp").distinct())
+        depth += 1
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
@@ -179,10 +229,10 @@ def fingerprint_text(column: str = "fp"):
 
 #: The order counts shingles in about so many texts and knows at most so many common ones. It decides how long lists get, not what is found.
 SAMPLE, COMMON = 5_000, 200_000
-#: Turns by centres, and centres of a list in all of them but the first.
-CENTRE_TURNS, CENTRES = 2, 8
-#: Members of a list in a block of the exact turn.
-BLOCK = 256
+#: Turns that only link members to the leaders of their block.
+LEADER_TURNS = 2
+#: Members of a list in one block; a longer list is dealt over blocks, and each two of them meet in the exact turn.
+BLOCK = 512
 #: Longs of a node's parities.
 _WIDTH = 16
 
@@ -214,6 +264,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             least = n + 1
             break
     found = counts.where(F.col("n") >= least).toArrow()
+    common.release(counts)
     keys, n = found.column("h").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
@@ -262,50 +313,141 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, print long, node long, size int, lists array<long>, parity array<long>")
 
 
-def least_shared(similarity: float) -> float:
-    """The part of the sum of two sizes that sets at ``similarity`` share at least."""
-    return similarity / (1 + similarity)
+def distinct_lists(posted: DataFrame) -> DataFrame:
+    """``node, value``: the lists of several members; of lists with equal members (by 128 bits of hashes) one."""
+    per = posted.groupBy("value").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64({i}, node))").alias(f"x{i}") for i in (1, 2)]).where("n > 1")
+    one = common.cut(per.groupBy("n", "x1", "x2").agg(F.min("value").alias("value")).select("value"))
+    return posted.join(common.maybe_broadcast(one), "value", "left_semi").select("node", "value")
+
+
+class Members:
+    """The members of posting lists of one Arrow batch, as arrays."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.sizes = np.asarray(lists.value_lengths())
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        flat = lists.flatten()
+        node, label, size, parity = flat.flatten()
+        self.node, self.label, self.size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (node, label, size))
+        self.parity = parity.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WIDTH)
+
+    def close(self, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+        """Whether sizes and parities allow members ``a`` and ``b`` (positions) to be similar.
+
+        Two sets differ in at least as many shingles as their sizes or their parities.
+        """
+        most = share * (self.size[a] + self.size[b]) + 1e-6
+        apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).sum(-1)
+        return (np.abs(self.size[a] - self.size[b]) <= most) & (apart <= most)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        """``u, v, from, to`` of members, the lesser node first."""
+        turned = self.node[a] > self.node[b]
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        return [self.node[a], self.node[b], self.label[a], self.label[b]]
+
 
+def _differing(similarity: float) -> float:
+    """The part of the sum of two sizes in which sets at ``similarity`` differ at most."""
+    return (1 - similarity) / (1 + similarity)
 
-def centre_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: members of each list with its centres of other classes, the lesser node first."""
-    order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "value", "node")
-    nth = F.row_number().over(Window.partitionBy("value").orderBy(order, "node"))  # each task keeps its first few of a list
-    centres = placed.withColumn("nth", nth).where(F.col("nth") <= (CENTRES if turn else 1))
-    centres = common.cut(centres.select("value", F.struct("node", "label").alias("centre")))
-    pairs = placed.select("value", F.struct("node", "label").alias("member")).join(centres, "value").where("member.label <> centre.label")
-    return pairs.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b"))
 
+PAIRS = "u long, v long, from long, to long"
 
-def all_pairs(placed: DataFrame) -> DataFrame:
-    """``a, b``: every pair of members of a list in different classes, the lesser node first.
 
-    A list is dealt over blocks of about ``BLOCK`` members, and each two blocks meet at a
-    key of their own.
+def _batch_of(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + c)) for c in columns], names=["u", "v", "from", "to"])
+
+
+def leader_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
+    """``u, v, from, to``: each member of a block with its leader, if of another class.
+
+    The first member is a leader; those whose bounds allow them to be similar follow it, and the first
+    of the others leads next: no member follows more than one.
     """
-    blocks = placed.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, "value").withColumn("own", F.pmod(F.xxhash64("value", "node"), F.col("blocks")).cast("int"))
-    side = lambda own, other, to, name: dealt.select("value", F.col("own").alias(own), F.explode(to).alias(other), F.struct("node", "label").alias(name))
-    left, right = side("i", "j", F.sequence("own", F.col("blocks") - 1), "a"), side("j", "i", F.sequence(F.lit(0), "own"), "b")
-    pairs = left.join(right, ["value", "i", "j"]).where((F.col("a.label") != F.col("b.label")) & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node"))))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    share = _differing(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, out = Members(batch.column(0)), [[], [], [], []]
+
+            def emit(a: np.ndarray, b: np.ndarray) -> None:
+                other = held.label[a] != held.label[b]
+                for column, values in zip(out, held.pairs(a[other], b[other])):
+                    column.append(values)
 
+            two = held.first[:-1][held.sizes == 2]
+            near = held.close(two, two + 1, share)
+            emit(two[near], two[near] + 1)
+            for i in np.nonzero(held.sizes > 2)[0]:
+                left = np.arange(held.first[i], held.first[i + 1])
+                while len(left) > 1:
+                    near = held.close(left[:1], left[1:], share)
+                    follow = left[1:][near]
+                    emit(np.repeat(left[:1], len(follow)), follow)
+                    left = left[1:][~near]
+            yield _batch_of(out)
 
-def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` whose sizes and parities allow ``similarity``: two sets differ in at least as many shingles as sizes or parities."""
-    of = lambda node, end: nodes.select(F.col("node").alias(node), F.col("size").alias(f"size_{end}"), F.col("parity").alias(f"parity_{end}"))
-    apart = sum((F.bit_count(F.get("parity_b", F.lit(i)).bitwiseXOR(F.get("parity_a", F.lit(i)))) for i in range(_WIDTH)), F.lit(0))
-    most = (1 - 2 * least_shared(similarity)) * (F.col("size_a") + F.col("size_b")) + 1e-6
-    return pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").where((F.abs(F.col("size_a") - F.col("size_b")) <= most) & (apart <= most)).select(*pairs.columns)
+    return blocks.select("members").mapInArrow(run, PAIRS)
+
+
+def tile_pairs(tiles: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """``u, v, from, to``: all pairs of a block (``whole``) or between two, of different classes, that bounds allow to be similar."""
+    share = _differing(similarity)
+    names = ["members"] if whole else ["members", "others"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, out = Members(batch.column(0)), [[], [], [], []]
+            for i in range(batch.num_rows):
+                left = np.arange(held.first[i], held.first[i + 1])
+                both, right = held, left
+                if not whole:  # the two blocks in a row
+                    both = Members(pa.concat_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1)]))
+                    left, right = np.arange(both.first[1]), np.arange(both.first[1], both.first[2])
+                for at in range(0, len(left), 32):
+                    a, b = np.meshgrid(left[at : at + 32], right, indexing="ij")
+                    a, b = a.ravel(), b.ravel()
+                    kept = (both.label[a] != both.label[b]) & ((a < b) if whole else True)
+                    a, b = a[kept], b[kept]
+                    near = both.close(a, b, share)
+                    for column, values in zip(out, both.pairs(a[near], b[near])):
+                        column.append(values)
+            yield _batch_of(out)
+
+    return tiles.select(*names).mapInArrow(run, PAIRS)
+
+
+def blocks_of(placed: DataFrame, sketch: DataFrame) -> DataFrame:
+    """``value, own, blocks, members``: each list of ``placed`` (``value, node, label``) dealt over blocks of about ``BLOCK`` members."""
+    counts = placed.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("value", "node"), F.col("blocks")).cast("int")
+    dealt = placed.join(counts, "value").withColumn("own", own).join(sketch, "node")
+    members = F.sort_array(F.collect_list(F.struct("node", "label", "size", "parity"))).alias("members")
+    return dealt.groupBy("value", "own").agg(F.first("blocks").alias("blocks"), members)
+
+
+def possible_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
+    """``u, v, from, to``: every pair of members of a list in different classes that bounds allow to be similar."""
+    inner = tile_pairs(blocks, similarity, True)
+    several = blocks.where("blocks > 1")
+    left = several.select("value", F.col("own").alias("i"), F.explode(F.sequence(F.col("own") + 1, F.col("blocks"))).alias("j"), "members").where(F.col("j") < F.col("blocks"))
+    right = several.where("own > 0").select("value", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("members").alias("others"))
+    outer = tile_pairs(left.join(right, ["value", "i", "j"]), similarity, False)
+    return inner.unionByName(outer)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (``u, v, from, to``) whose texts have shared over all shingles of at least ``similarity``."""
+    """``u, v``: links of the classes in ``pairs`` (``u, v, from, to``) whose texts are similar over all their shingles.
+
+    Classes that several pairs link to one are linked as a binary tree.
+    """
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = common.cut(nodes.select("node", "print").join(wanted, "node"))
     rows = docs.select(F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
     texts = common.written(rows.join(common.maybe_broadcast(wanted), "print").groupBy("node").agg(F.first("raw").alias("raw")), "texts")
-    # u, which may be the centre of very many pairs, joins last: its pairs stand together
+    # u, which may lead very many pairs, joins last: its pairs stand together
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("raw").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,45 +460,57 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simila
                 right = shingle_set(_bytes(b), k)
                 shared = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(shared >= similarity * (len(left) + len(right) - shared) - 1e-9)
-            yield batch.select(["u", "v", "from", "to"]).filter(pa.array(keep, pa.bool_()))
+            kept = np.nonzero(keep)[0]
+            one, other = batch.column(2).to_numpy()[kept], batch.column(3).to_numpy()[kept]
+            nodes_, at = np.unique(np.concatenate([one, other]), return_inverse=True)
+            a, b = forest(least_labels(len(nodes_), at[: len(one)], at[len(one) :])) if len(nodes_) else (at, at)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_[a]), pa.array(nodes_[b])], names=["u", "v"])
 
-    return both.select("u", "v", "from", "to", "a", "b").mapInArrow(run, "u long, v long, from long, to long")
+    found = common.cut(both.select("u", "v", "from", "to", "a", "b").mapInArrow(run, "u long, v long").distinct())
+    common.release(texts, wanted)
+    return found
 
 
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Every row's ``doc_id, print, node``, and every node's ``node, label``: its class of near copies.
 
     A node is a set of shingles, so texts that differ in case, white space or repeated
-    shingles are one. The first turns only save work: lists that hold several classes pick
-    centres and link to them the members of other classes that verify. The first takes one
-    centre, by an order that all lists share, so a large group of copies is linked to
-    few; the next takes ``CENTRES``, drawn anew. The last turn is exact: every pair of
-    different classes that a list still holds is ruled out by a bound or verified.
+    shingles are one. The first turns only save work: each member of a list is compared with the
+    leader of its block, in the second turn one member for each class of a list. The last
+    turn is exact: every pair of different classes that a list still holds is ruled out by a
+    bound or verified, long lists in tiles of two blocks.
     """
     prints = common.written(prefixes(docs, k, similarity), "prefixes")
     nodes = prints.groupBy("node").agg(*[F.min("print").alias("print"), *(F.first(c).alias(c) for c in ("size", "lists", "parity"))])
     nodes = common.written(nodes, "nodes")
-    posted = nodes.select("node", F.explode("lists").alias("value"))
-    company = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    posted = common.written(posted.join(company, "value", "left_semi"), "posted")
-    nodes = nodes.drop("lists")
-
-    labels = nodes.select("node", F.col("node").alias("label"))
-    for turn in range(CENTRE_TURNS + 1):
-        if turn == 0:  # every node is a class
+    posted = common.written(distinct_lists(nodes.select("node", F.explode("lists").alias("value"))), "posted")
+    sketch = nodes.select("node", "size", "parity")
+    labels = None
+    for turn in range(LEADER_TURNS + 1):
+        if labels is None:  # every node is a class
             placed = posted.withColumn("label", F.col("node"))
         else:
-            placed = posted.join(labels, "node")
+            placed = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             mixed = placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-            placed = common.cut(placed.join(mixed, "value", "left_semi"))
-            posted = placed.drop("label")
-        pairs = centre_pairs(placed, turn) if turn < CENTRE_TURNS else all_pairs(placed)
-        pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.label").alias("from"), F.col("b.label").alias("to")).distinct()
-        pairs = common.cut(possible(pairs, nodes, similarity))
-        met = common.cut(verified(pairs, nodes, docs, k, similarity).select(F.col("from").alias("u"), F.col("to").alias("v")).distinct())
+            placed = placed.join(common.maybe_broadcast(common.cut(mixed)), "value", "left_semi")
+            if turn < LEADER_TURNS:
+                placed = placed.groupBy("value", "label").agg(F.min("node").alias("node"))
+        blocks = common.written(blocks_of(placed, sketch), "blocks")
+        found = leader_pairs(blocks, similarity) if turn < LEADER_TURNS else possible_pairs(blocks, similarity)
+        pairs = common.cut(found.distinct())
+        common.release(blocks)
+        met = verified(pairs, nodes, docs, k, similarity)
         if not met.isEmpty():
-            merged = components(met).select(F.col("node").alias("label"), F.col("label").alias("new"))
-            labels = common.cut(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+            merged = components(met)
+            if labels is None:
+                labels = merged
+            else:  # classes of classes; a class that met no other keeps its label
+                new = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+                old = labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+                labels = common.cut(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")))
+        common.release(pairs, met)
+    every = nodes.select("node")
+    labels = every.withColumn("label", F.col("node")) if labels is None else every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     return prints.select("doc_id", "print", "node"), labels
 
 

@@ -225,10 +225,12 @@ def brute_classes(prints, radius):
     return [root(i) for i in range(len(prints))]
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("light", [256, 3])
+def test_classes_equal_brute_force(spark, monkeypatch, light):
     from meshweave.llm import simhash
     from meshweave.llm.components import components
 
+    monkeypatch.setattr(simhash, "LIGHT", light)
     rng = np.random.default_rng(7)
     prints = [0]
     for _ in range(700):
@@ -248,14 +250,14 @@ def test_long_posting_list():
 
     rng = np.random.default_rng(8)
     members = np.unique(rng.integers(0, 1 << 16, 3000).astype(np.uint64))
-    u, v = list_links(members.view(np.int64), 0xFFFF, 2)
-    parent = {int(m): int(m) for m in members}
-    for a, b in zip(u, v):
-        parent[int(b)] = int(a)
+    u, v = list_links(members.view(np.int64), 2, 0xFFFF)
+    label = {int(m): int(m) for m in members}
+    for a, b in sorted(zip(u, v)):  # the lesser end of a tree's link comes first
+        label[int(b)] = label[int(a)]
     few = members[:1500]
-    want = brute_classes([int(x) for x in members], 2) if len(few) < 10 else None
     pairs = {tuple(sorted((int(a), int(b)))) for a in few for b in few[np.bitwise_count(few ^ a) <= 2] if a != b}
-    assert want is None and all(parent[a] == parent[b] for a, b in pairs)
+    assert len(pairs) > 1000 and all(label[a] == label[b] for a, b in pairs)
+    assert max(np.unique(np.concatenate([u, v]), return_counts=True)[1]) <= 3
 
 
 def test_near_duplicate_classes(spark):
