@@ -128,6 +128,40 @@ def n_words(column: str | Column) -> Column:
     return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, also within other functions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Elements of an array that a running total handles together.
+RUN = 32
+
+
+def running(array: Column, value, join, start: int = 0) -> Column:
+    """For each element of an array, ``join`` of ``start`` and the ``value`` of all before it (integers).
+
+    Arrays can only be built by copying, so totals run over blocks of ``RUN`` elements first and then
+    within each: the work grows in proportion to the array.
+    """
+    empty = F.array().cast("array<int>")
+
+    def pushed(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def before(values: Column, at: Column) -> Column:
+        return F.aggregate(values, F.struct(at.alias("at"), empty.alias("out")), pushed, lambda acc: acc["out"])
+
+    def totals(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(start), join))
+        return F.flatten(F.zip_with(blocks, before(sums, F.lit(start)), before))
+
+    def blocked(values: Column) -> Column:
+        count = F.ceil(F.size(values) / RUN).cast("int")
+        return F.when(count < 2, before(values, F.lit(start))).otherwise(once(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(values, (i - 1) * RUN + 1, F.lit(RUN))), totals))
+
+    return once(F.transform(array, value), blocked)
+
+
 #: A text is handled in parts of about this many bytes.
 PART_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")

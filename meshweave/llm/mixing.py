@@ -12,13 +12,13 @@
    permutation, one key per source and pass), and a random slot orders each shard.
 
 Only the recipe reaches the driver: one row per source, and per source and shard
-a number. Positions of documents come from prefix sums over buckets of about
+a number, ``RECIPE_NUMBERS`` in all at most. Positions of documents come from prefix sums over buckets of about
 ``max(500, sqrt(rows))`` rows, so a hot source is spread over many tasks.
 
 Edge cases: null texts have no words and are never taken; a null source is a source
-of its own, last in order; documents with equal ids are told apart by their place in
-the line; an empty table gives an empty mix; other columns pass through ``mix``
-(``reserved`` names of its own are replaced).
+of its own, last in order; null ids take part; documents with equal ids are told apart by
+their sizes and texts, and rows equal in all of these are interchangeable; an empty table gives
+an empty mix; other columns pass through ``mix``, but those with the names of the columns it adds.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -40,6 +41,8 @@ from . import common
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1_024
 SHARD_WORDS = 4_000_000
+#: Numbers in the recipe at most: with very many sources the shards are larger.
+RECIPE_NUMBERS = 20_000_000
 #: The sampler of the tree takes fewer than 10 ** 9 draws; blocks grow beyond that.
 MOST_DRAWS = 400_000_000
 
@@ -109,7 +112,7 @@ def recipe(totals: list[tuple[str | None, int]], seed: int, weights=WEIGHTS, sha
             more = rest * s.blocks // s.size
             s.full = passes * s.blocks + more
             s.part = max(0, rest - round(Fraction(more * s.size, s.blocks)))
-    shards = max(1, min(65_536, math.ceil(sum(goal) / SHARD_WORDS)))
+    shards = max(1, min(65_536, math.ceil(sum(goal) / SHARD_WORDS), RECIPE_NUMBERS // max(1, len(sources))))
     if sources:
         tree = split(np.array([s.draws for s in sources]), shards, np.random.default_rng(seed))
         for i, s in enumerate(sources):
@@ -171,69 +174,74 @@ def pieces(s: Source, start: int, size: int, seed: int) -> list[np.ndarray]:
 PIECE = "struct<shard:int,slot:long,turn:int,first:int,words:int>"
 
 
-def plan(sized: DataFrame, seed: int = 17, **how) -> DataFrame:
-    """Rows with ``doc_id, source, size`` get ``source_size, target`` and ``pieces``, all that the mix takes of them."""
-    spark = sized.sparkSession
+def plan(docs: DataFrame, columns: list[str], seed: int = 17, **how) -> tuple[DataFrame, int]:
+    """``row`` (a struct of ``columns``), ``size, source_size, target`` and ``pieces``, all that the mix takes of a row, of every row; and the number of shards."""
+    spark = docs.sparkSession
     common.bound_batches(spark)
-    rows = sized.count()
+    own = F.struct(*[F.col(f"`{c}`") for c in columns])
+    sized = docs.select(own.alias("row"), "doc_id", "source", common.n_words("text").alias("size"), F.xxhash64("text").alias("print"))
+    if "text" not in columns:  # small rows: sizes are counted once
+        sized = common.cut(sized)
+    rows = docs.count()
     buckets = max(1, round(rows / max(500, math.isqrt(rows))))
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
     placed = sized.withColumns({
-        "_group": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")),
-        "_order": order,
-        "_bucket": F.pmod(F.shiftrightunsigned(order, 8), F.lit(buckets)),
+        "group": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")),
+        "order": order,
+        "bucket": F.pmod(F.shiftrightunsigned(order, 8), F.lit(buckets)),
     })
-    per = placed.groupBy("_group", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = common.cut(per.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))))
-    found = per.groupBy("_group").agg(F.sum("_sum").alias("size")).collect()  # one row per source
-    sources, _ = recipe([(r["_group"][1:] if r["_group"][0] == "v" else None, int(r["size"] or 0)) for r in found], seed, **how)
+    per = placed.groupBy("group", "bucket").agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = common.cut(per.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))))
+    found = per.groupBy("group").agg(F.sum("sum").alias("size")).collect()  # one row per source
+    sources, shards = recipe([(r["group"][1:] if r["group"][0] == "v" else None, int(r["size"] or 0)) for r in found], seed, **how)
     known = spark.sparkContext.broadcast({s.name: s for s in sources})  # the recipe
 
-    line = Window.partitionBy("_group", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_within", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    placed = placed.join(per.drop("_sum"), ["_group", "_bucket"]).withColumn("_start", F.col("_before") + F.col("_within"))
-    kept = [c for c in sized.columns if c not in ("size", "source_size", "target", "pieces")]
-    placed = placed.select(*kept, "size", "_start")
-    at = {c: i for i, c in enumerate(placed.columns)}
+    line = Window.partitionBy("group", "bucket").orderBy("order", "doc_id", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("within", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    placed = placed.join(per.drop("sum"), ["group", "bucket"]).select("row", "source", "size", (F.col("before") + F.col("within")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recipe_ = known.value
         fields = [("shard", pa.int32()), ("slot", pa.int64()), ("turn", pa.int32()), ("first", pa.int32()), ("words", pa.int32())]
         for batch in batches:
-            own = [recipe_[x] for x in batch.column(at["source"]).to_pylist()]
-            starts, sizes = batch.column(at["_start"]).to_pylist(), batch.column(at["size"]).to_pylist()
+            sources_, sizes, starts = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            own = [recipe_[x] for x in sources_]
             made = [pieces(s, a, n, seed) for s, a, n in zip(own, starts, sizes)]
             flat = [np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in range(5)]
             struct = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(flat, fields)], names=[n for n, _ in fields])
             ends = np.cumsum([0, *(len(m[0]) for m in made)])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(at[c]) for c in kept), batch.column(at["size"]), pa.array([s.size for s in own], pa.int64()), pa.array([float(s.target) for s in own], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
-                names=[*kept, "size", "source_size", "target", "pieces"],
+                [batch.column(0), batch.column(2), pa.array([s.size for s in own], pa.int64()), pa.array([float(s.target) for s in own], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
+                names=["row", "size", "source_size", "target", "pieces"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.select(*kept).schema)
-    return placed.mapInArrow(run, f"{schema}, size long, source_size long, target double, pieces array<{PIECE}>")
+    schema = T.StructType([T.StructField("row", placed.schema["row"].dataType), *T._parse_datatype_string(f"size long, source_size long, target double, pieces array<{PIECE}>").fields])
+    return placed.mapInArrow(run, schema), shards
 
 
 def taken_words(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every document."""
-    sized = common.cut(docs.select("doc_id", "source", common.n_words("text").alias("size")))
-    made = plan(sized, seed, **how)
-    return made.select("doc_id", "size", "source_size", "target", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken"))
+    """``doc_id, size, source_size, target, taken`` of every document, and ``by_shard``: the pieces that each output shard takes of it."""
+    made, _ = plan(docs, ["doc_id"], seed, **how)
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken")
+    shard = F.array_sort(F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["turn"].alias("turn"), p["first"].alias("first_word"), p["words"].alias("words"))))
+    return made.select("row.doc_id", "size", "source_size", "target", taken, shard.alias("by_shard"))
 
 
 def mix(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     """The mix itself: a row for each piece taken, its text in ``text``.
 
-    Adds ``shard, slot, turn, first_word, n_words_taken``; rows of a shard stand together, shuffled by ``slot``.
+    Adds ``shard, slot, turn, first_word, n_words_taken``; a partition holds whole shards, each shuffled by ``slot``.
     A piece that is a whole document keeps its text, another has its words joined by one space.
     """
-    made = plan(docs.withColumn("size", common.n_words("text")), seed, **how).where(F.size("pieces") > 0)
-    own = ["shard", "slot", "turn", "first_word", "n_words_taken"]
-    kept = [c for c in docs.columns if c not in (*own, "size", "source_size", "target", "pieces")]
-    rows = made.select(*kept, "size", F.explode("pieces").alias("p"))
-    words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    piece = F.when((F.col("p.first") == 0) & (F.col("p.words") == F.col("size")), F.col("text")).otherwise(F.array_join(F.slice(words, F.col("p.first") + 1, F.col("p.words")), " "))
-    rows = rows.select(*[piece.alias("text") if c == "text" else F.col(c) for c in kept], F.col("p.shard").alias("shard"), F.col("p.slot").alias("slot"), F.col("p.turn").alias("turn"), F.col("p.first").alias("first_word"), F.col("p.words").alias("n_words_taken"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "slot", "turn")
+    made, shards = plan(docs, docs.columns, seed, **how)
+    added = ["shard", "slot", "turn", "first_word", "n_words_taken"]
+    text = F.col("row.text")
+    words = F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
+    whole = lambda p: (p["first"] == 0) & (p["words"] == F.col("size"))
+    cut = lambda w: F.transform("pieces", lambda p: F.when(~whole(p), F.array_join(F.slice(w, p["first"] + 1, p["words"]), " ")))
+    parts = F.when(F.forall("pieces", whole), F.transform("pieces", lambda p: F.lit(None).cast("string"))).otherwise(common.once(words, cut))
+    rows = made.where(F.size("pieces") > 0).select("row", F.explode(F.arrays_zip(F.col("pieces").alias("p"), parts.alias("part"))).alias("x"))
+    kept = [F.coalesce("x.part", text).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    rows = rows.select(*kept, *[F.col(f"x.p.{a}").alias(b) for a, b in zip(("shard", "slot", "turn", "first", "words"), added)])
+    return rows.repartition(max(shards, common.partitions(docs)), "shard").sortWithinPartitions("shard", "slot", "turn")
