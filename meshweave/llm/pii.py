@@ -14,6 +14,8 @@ that overlap no base span.
 
 Patterns never backtrack: a start within a run of the pattern's own characters is
 skipped unless the last match ended there, which changes no match and keeps long runs linear.
+Places, overlaps and redacted texts are computed in time proportional to the text
+(``common.running``, masks and UTF-32, whose parts are found without counting from the start).
 
 Edge cases: null texts are empty and have no spans; offsets are code points, ends
 exclusive; repeated rows each get their row; a corpus without candidates adds nothing;
@@ -57,28 +59,42 @@ ISSUERS = "34 37 4 51 52 53 54 55 60 62 65".split()
 CUES = "mail email contact write reach call tel phone mobile fax card visa credit account iban ssn social ip host address kontakt telefon karte konto correo tarjeta cuenta courriel carte compte".split()
 AGAINST = "version isbn issn sku order invoice build rev sha md5 hash".split()
 
-SPAN = "array<struct<kind:int,s:int,e:int,hit:string>>"
+SPAN = "array<struct<kind:int,s:int,e:int,hit:string,before:string,around:string>>"
 CONTEXT = 24
 VOTERS = 4
 
 
+def likely(kind: str, hit: Column) -> Column:
+    """A cheap test that every match of a kind passes if it passes its rule."""
+    n = F.length(hit)
+    return {"card": n >= 16, "phone": n >= 9, "ip": F.lit(True)}.get(kind, F.lit(True))
+
+
 def located(text: Column, kind: str) -> Column:
-    """Every match of a kind's pattern: ``kind, s, e, hit``.
+    """The matches of a kind's pattern whose rule holds or, for kinds that the method adds, all: ``kind, s, e, hit, before, around``.
 
-    The gaps between matches and the matches themselves give the places.
+    The gaps between matches and the matches themselves give the places; ``before`` is the end of the gap
+    before a match, ``around`` the characters next to it.
     """
-    pattern = PATTERN[kind]
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    pattern, number = PATTERN[kind], F.lit(KINDS.index(kind))
     none = F.array().cast(SPAN)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def spans(x: Column) -> Column:
+        gaps, found = x["gaps"], x["hits"]
+        size = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.length(g) + F.length(h))
+        start = common.running(size, lambda n: n, lambda a, b: a + b)
+        zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), F.slice(gaps, F.lit(2), F.size(found)).alias("next"), start.alias("at"))
+        zipped = F.filter(zipped, lambda z: likely(kind, z["hit"]) & passes_of(kind, z["hit"])) if kind in BASE else zipped
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("s"), end.alias("e"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+        def span(z: Column) -> Column:
+            s = z["at"] + F.length(z["gap"])
+            beside = F.concat(F.right(z["gap"], F.lit(1)), F.when((z["gap"] == "") & (z["at"] > 0), F.lit("x")).otherwise(F.lit("")), F.substr(z["next"], F.lit(1), F.lit(1)))
+            return F.struct(number.alias("kind"), s.alias("s"), (s + F.length(z["hit"])).alias("e"), z["hit"].alias("hit"), F.right(z["gap"], F.lit(CONTEXT)).alias("before"), beside.alias("around"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.transform(zipped, span)
+
+    found = common.once(F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits")), spans)
     need = NEEDS[kind]
     quick = text.contains(need) if need else text.rlike(r"(?i)[\[(]at[\])]") if kind == "handle" else text.rlike("[0-9]")
     return F.when(quick & text.rlike(pattern), found).otherwise(none)
@@ -103,44 +119,69 @@ def mod97(hit: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda a, c: (a * F.when(value(c) > 9, F.lit(100)).otherwise(F.lit(10)) + value(c)) % 97) == 1
 
 
+def passes_of(kind: str, hit: Column) -> Column:
+    """Whether a match holds the rule of its kind."""
+    n = F.length(digits(hit))
+    if kind == "ip":
+        return F.forall(F.split(hit, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.concat(F.lit("0"), F.substr(F.ltrim(p, F.lit("0")), F.lit(1), F.lit(3))).cast("int") <= 255))
+    if kind == "card":
+        return n.between(16, 19) & luhn(hit)
+    if kind == "phone":
+        return n.between(8, 15)
+    if kind == "local_phone":
+        return ~F.substr(digits(hit), F.lit(1), F.lit(1)).isin("0", "1")
+    if kind == "ssn":
+        return ~(F.substr(hit, F.lit(1), F.lit(3)).isin("000", "666") | hit.startswith("9") | hit.contains("-00-") | hit.endswith("-0000"))
+    return mod97(hit) if kind == "iban" else F.lit(True)
+
+
 def passes(kind: Column, hit: Column) -> Column:
     """The rule of the span's kind."""
-    n = F.length(digits(hit))
-    small = F.forall(F.split(hit, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.concat(F.lit("0"), F.substr(F.ltrim(p, F.lit("0")), F.lit(1), F.lit(3))).cast("int") <= 255))
-    rule = {
-        "email": F.lit(True), "handle": F.lit(True), "local_phone": ~F.substr(digits(hit), F.lit(1), F.lit(1)).isin("0", "1"),
-        "ip": small, "card": n.between(16, 19) & luhn(hit), "phone": n.between(8, 15),
-        "ssn": ~(F.substr(hit, F.lit(1), F.lit(3)).isin("000", "666") | hit.startswith("9") | hit.contains("-00-") | hit.endswith("-0000")), "iban": mod97(hit),
-    }
-    return reduce(lambda rest, k: F.when(kind == KINDS.index(k), rule[k]).otherwise(rest), KINDS, F.lit(False))
+    return reduce(lambda rest, k: F.when(kind == KINDS.index(k), passes_of(k, hit)).otherwise(rest), KINDS, F.lit(False))
 
 
 def base_spans(text: Column) -> Column:
     """The base spans, in order of kind and start."""
-    return F.filter(F.concat(*[located(text, k) for k in BASE]), lambda s: passes(s["kind"], s["hit"]))
+    return F.concat(*[located(text, k) for k in BASE])
+
+
+def mask(base: Column, kind: str) -> Column:
+    """A byte for each character up to the last span of a kind: 1 within its spans, 0 between them."""
+    own = F.filter(base, lambda b: b["kind"] == KINDS.index(kind))
+
+    def drawn(spans: Column) -> Column:
+        ends = F.slice(F.concat(F.array(F.lit(0)), F.transform(spans, lambda b: b["e"])), F.lit(1), F.size(spans))
+        runs = F.zip_with(spans, ends, lambda b, end: F.concat(F.repeat(F.lit("0"), b["s"] - end), F.repeat(F.lit("1"), b["e"] - b["s"])))
+        return F.array_join(runs, "").cast("binary")
+
+    return common.once(own, drawn)
 
 
 def other_spans(text: Column, base: Column) -> Column:
     """Candidates of the other kinds that overlap no base span."""
-    found = F.concat(*[located(text, k) for k in ADDED])
-    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    def apart(found: Column) -> Column:
+        def free(masks: Column) -> Column:
+            return F.filter(found, lambda c: ~F.exists(masks, lambda m: F.substring(m, c["s"] + 1, c["e"] - c["s"]).cast("string").contains("1")))
+
+        return F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(common.once(F.array(*[mask(base, k) for k in BASE]), free))
+
+    return common.once(F.concat(*[located(text, k) for k in ADDED]), apart)
 
 
-def votes(text: Column, span: Column) -> list[Column]:
-    """The labelers' votes on a span."""
+def votes(span: Column) -> list[Column]:
+    """The labelers' votes on a span; the rules of base spans hold already."""
     hit, kind = span["hit"], span["kind"]
     lead = digits(F.substr(hit, F.lit(1), F.lit(8)))
     end = F.lower(F.regexp_extract(hit, r"([A-Za-z0-9-]+)$", 1))
     is_kind = lambda *ks: kind.isin(*[KINDS.index(k) for k in ks])
     listed = F.when(is_kind("email", "handle"), end.isin(*ENDS)).when(is_kind("phone"), reduce(Column.__or__, [lead.startswith(d) for d in DIALS])).when(is_kind("card"), reduce(Column.__or__, [lead.startswith(d) for d in ISSUERS]))
-    before = F.lower(F.substr(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT))))
+    before = F.lower(span["before"])
     cue = F.when(before.rlike(r"\b(?:" + "|".join(CUES) + r")\b"), 1).when(before.rlike(r"\b(?:" + "|".join(AGAINST) + r")\b"), -1).otherwise(0)
-    around = F.concat(F.substr(text, span["s"], F.when(span["s"] > 0, 1).otherwise(0)), F.substr(text, span["e"] + 1, F.lit(1)))
     return [
-        F.when(passes(kind, hit), 1).otherwise(-1),
+        F.when((kind < len(BASE)) | passes(kind, hit), 1).otherwise(-1),
         F.when(listed, 1).otherwise(0),
         cue,
-        F.when(around.rlike("[A-Za-z0-9_]"), -1).otherwise(1),
+        F.when(span["around"].rlike("[A-Za-z0-9_]"), -1).otherwise(1),
     ]
 
 
@@ -153,7 +194,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def voted(name: str) -> Column:
     """``kind, v0..v3`` of each span of a column."""
-    return F.transform(name, lambda s: F.struct(s["kind"].alias("kind"), *[v.alias(f"v{i}") for i, v in enumerate(votes(F.col("__pii_text"), s))]))
+    return F.transform(name, lambda s: F.struct(s["kind"].alias("kind"), *[v.alias(f"v{i}") for i, v in enumerate(votes(s))]))
 
 
 def patterns(rows: DataFrame) -> list[tuple[int, tuple[int, ...], int]]:
@@ -219,7 +260,7 @@ def accepted(weight: list[float]) -> Column:
     """The other candidates that the classifier takes for true spans and whose rule holds."""
 
     def keep(s: Column) -> Column:
-        v = votes(F.col("__pii_text"), s)
+        v = votes(s)
         z = F.lit(weight[0]) + reduce(lambda rest, k: F.when(s["kind"] == k, F.lit(weight[1 + k])).otherwise(rest), range(len(KINDS)), F.lit(0.0))
         for i in range(VOTERS):
             z = z + F.when(v[i] == 1, F.lit(weight[1 + len(KINDS) + i])).when(v[i] == -1, F.lit(weight[1 + len(KINDS) + VOTERS + i])).otherwise(F.lit(0.0))
@@ -251,18 +292,23 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets; ``n_chars`` follows where it is there."""
     found = find(docs)
     spans = F.array_sort(F.transform(F.concat("__pii_kept", "__pii_added"), lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<from:int,s:int,kind:int>>")
+    label = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
 
-    def step(acc: Column, x: Column) -> Column:  # overlapping spans are replaced as one
-        piece = F.struct(acc["at"].alias("from"), x["s"].alias("s"), x["kind"].alias("kind"))
-        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
+    def replaced(x: Column) -> Column:  # overlapping spans are replaced as one
+        ordered, wide = x["spans"], x["wide"]
+        text = lambda a, b: F.decode(F.substring(wide, a * 4 + 1, (b - a) * 4), "UTF-32")
 
-    cuts = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
-    rows = found.withColumn("__pii_cuts", cuts)
-    label = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
-    parts = F.transform("__pii_cuts.out", lambda p: F.concat(F.substr("text", p["from"] + 1, p["s"] - p["from"]), label(p["kind"])))
-    text = F.when(F.size("__pii_cuts.out") > 0, F.concat(F.array_join(parts, ""), F.substr(F.col("text"), F.col("__pii_cuts.at") + 1, F.length("text")))).otherwise(F.col("text"))
+        def joined(reach: Column) -> Column:
+            parts = F.zip_with(ordered, reach, lambda s, r: F.when(s["s"] >= r, F.concat(text(r, s["s"]), label(s["kind"]))))
+            end = F.greatest(F.element_at(reach, -1), F.element_at(ordered, -1)["e"])
+            return F.concat(F.array_join(parts, ""), text(end, F.length(wide)))
+
+        return common.once(common.running(ordered, lambda s: s["e"], lambda a, b: F.greatest(a, b)), joined)
+
+    wide = F.encode("text", "UTF-32")
+    rows = found.withColumn("__pii_cuts", spans)
+    text = F.when(F.size("__pii_cuts") > 0, common.once(F.struct(F.col("__pii_cuts").alias("spans"), wide.alias("wide")), replaced)).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("__pii_cuts.out") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size("__pii_cuts") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
