@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; the texts of all labelled rows, with
-their labels hidden, are the unlabelled sample. A linear model over hashed words
+Confirmed toxic texts are the positives; the unlabelled sample is drawn from all documents,
+whether the labels know them or not. A linear model over hashed words
 is trained in numpy on the class-prior-corrected risk
 
     pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1))
@@ -9,11 +9,14 @@ is trained in numpy on the class-prior-corrected risk
 with logistic loss, where ``pi`` is the share of toxic rows among all labelled
 rows of the training folds. The fit uses at most ``max_positive`` and
 ``max_unlabelled`` rows (lowest hash of their id first), a documented bound; every
-document is scored, over its whole text. Rows of the held-out fold, labels, lang,
-source and doc_id are never inputs.
+document is scored, over its whole text. Rows of the held-out fold are not read for the fit;
+labels, lang, source and doc_id are never inputs of a score.
+
+Words are counted where the texts are; the words that tell the two samples apart are few,
+and only they reach the driver, at most ``MOST_WORDS`` for each sampled row.
 
 Edge cases: null or empty texts get the model's base score; without positives
-every score is the prior's; repeated rows are scored each; a null ``doc_id`` is
+every score is the prior's; without unlabelled rows it is the prior's too; repeated rows are scored each; a null ``doc_id`` is
 held out of training and not marked ``held_out``; other columns are not read.
 """
 
@@ -31,7 +34,10 @@ from . import common
 
 BITS = 18
 FOLDS = 5
-_MEMO = 400_000
+#: Slots that a model uses at most.
+MOST_WORDS = 2_000
+#: Words that a task remembers, and their longest; longer ones are hashed each time.
+_MEMO, _LONGEST = 400_000, 64
 #: ASCII letters to lower case, other ASCII bytes but digits to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -93,44 +99,40 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, rounds: int = 200,
     return theta, float(w[-1])
 
 
-def select(positive: list, unlabelled: list, least_z: float = 3.5, least_rows: int = 5) -> np.ndarray:
-    """Which slots tell the two samples apart: their shares of rows differ by ``least_z`` errors."""
-    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    count = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in rows)]), minlength=1 << BITS)
-    in_p, in_u = count(positive), count(unlabelled)
-    share = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    return (np.abs(z) >= least_z) & (in_p + in_u >= least_rows)
-
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least_z: float = 3.5, least_rows: int = 5) -> np.ndarray:
+    """The slots that tell two samples apart, of how many rows hold each: their shares of rows differ by ``least_z`` errors.
 
-def fit(positive: list, unlabelled: list, prior: float) -> tuple[np.ndarray, float]:
-    """Fit on the slots that ``select`` keeps."""
-    kept = select(positive, unlabelled)
-    thin = lambda rows: [[s for s in x if kept[s]] for x in rows]
-    return fit_nnpu(thin(positive), thin(unlabelled), prior)
+    At most ``MOST_WORDS``, the most telling first.
+    """
+    n_p, n_u = max(1, n_p), max(1, n_u)
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    z = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    at = np.nonzero((z >= least_z) & (in_p + in_u >= least_rows))[0]
+    return np.sort(at[np.argsort(-z[at], kind="stable")[:MOST_WORDS]])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 12_000) -> tuple[np.ndarray, float]:
-    """Fit on the training folds of the labelled rows."""
+    """Fit on the training folds."""
     common.bound_batches(docs.sparkSession)
-    marked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of("doc_id") != 0))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .select(F.col("doc_id").alias("key"), (F.col("toxic") == 1).alias("positive"), F.xxhash64("doc_id").alias("order"))
-    )
-    known = marked.agg(F.avg(F.col("positive").cast("double")), F.count("*")).first()
-    prior = known[0]
+    usable = F.col("doc_id").isNotNull() & (fold_of("doc_id") != 0)
+    marked = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    prior = marked.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if not prior or prior >= 1:
         return fit_nnpu([], [], prior or 1e-3)
-    chosen = (
-        marked.where("positive").orderBy("order", "key").limit(max_positive).select("key", F.lit(True).alias("positive"))
-        .unionByName(marked.orderBy(F.col("order").desc(), "key").limit(max_unlabelled).select("key", F.lit(False).alias("positive")))
-    )
+    first = lambda df, flag, n: df.select(F.col("doc_id").alias("key"), F.lit(flag).alias("positive")).distinct().orderBy(F.xxhash64("key", F.lit(flag)), "key").limit(n)
+    chosen = first(marked.where("toxic = 1"), True, max_positive).unionByName(first(docs.where(usable), False, max_unlabelled))
     # At most max_positive + max_unlabelled ids: small enough to broadcast.
     texts = docs.select(F.col("doc_id").alias("key"), common.text_of("text").cast("binary").alias("raw"))
-    rows = hashed(texts.join(F.broadcast(chosen), "key").select("key", "positive", "raw")).orderBy("key", "positive", "slots").toArrow()
-    slots, flags = rows.column("slots").to_pylist(), rows.column("positive").to_pylist()
-    return fit([s for s, f in zip(slots, flags) if f], [s for s, f in zip(slots, flags) if not f], prior)
+    rows = common.cut(hashed(texts.join(F.broadcast(chosen), "key").select("key", "positive", "raw")))
+    sizes = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    held = rows.select("positive", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()  # at most 2 ** BITS rows
+    in_p, in_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    in_p[held.column("slot").to_numpy()], in_u[held.column("slot").to_numpy()] = held.column("p").to_numpy(), held.column("u").to_numpy()
+    kept = telling(in_p, in_u, sizes.get(True, 0), sizes.get(False, 0)).tolist()
+    thin = F.filter("slots", lambda s: F.array_contains(F.lit(kept).cast("array<int>"), s)) if kept else F.array().cast("array<int>")
+    few = rows.select("key", "positive", thin.alias("slots")).orderBy("key", "positive", "slots").toArrow()
+    slots, flags = few.column("slots").to_pylist(), few.column("positive").to_pylist()
+    return fit_nnpu([s for s, f in zip(slots, flags) if f], [s for s, f in zip(slots, flags) if not f], prior)
 
 
 def score(docs: DataFrame, theta: np.ndarray, bias: float) -> DataFrame:
@@ -148,9 +150,9 @@ def score(docs: DataFrame, theta: np.ndarray, bias: float) -> DataFrame:
                 if len(memo) + len(new) > _MEMO:
                     memo.clear()
                     new = words
-                for word in new:
-                    memo[word] = slot(word)
-                slots = np.fromiter({memo[w] for w in words}, np.int64)
+                held = {w: slot(w) for w in new}
+                memo.update((w, n) for w, n in held.items() if len(w) <= _LONGEST)
+                slots = np.fromiter({held[w] if w in held else memo[w] for w in words}, np.int64)
                 z = bias + float(np.sum(np.sort(weights[slots]), dtype=np.float64))
                 out.append(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
