@@ -71,6 +71,56 @@ def test_mixing_comes_near_targets(spark):
     for r in mixed:
         assert words(r["text"]) == words(texts[r["doc_id"]])[r["first_word"] : r["first_word"] + r["n_words_taken"]]
     assert taken_words(docs.limit(0)).count() == 0
+    # every pass takes a word of a document at most once, a whole pass takes all of them
+    size, passes = Counter(), {}
+    for r in rows:
+        size[sources[r["doc_id"]]] += r["size"]
+    for r in rows:
+        for p in r["by_shard"]:
+            got = passes.setdefault((r["doc_id"], p["turn"]), Counter())
+            got.update(range(p["first_word"], p["first_word"] + p["words"]))
+        assert r["taken"] == sum(p["words"] for p in r["by_shard"])
+        for turn in range(int(r["target"] // max(1, r["source_size"]))):
+            assert r["size"] == len(passes.get((r["doc_id"], turn), ()))
+        assert r["source_size"] == size[sources[r["doc_id"]]]
+    assert all(set(c.values()) == {1} for c in passes.values())
+    pieces = lambda r: sorted((p["shard"], p["turn"], p["first_word"], p["words"]) for p in r["by_shard"])
+    made = defaultdict(list)
+    for r in mixed:
+        made[r["doc_id"]].append((r["shard"], r["turn"], r["first_word"], r["n_words_taken"]))
+    assert all(pieces(r) == sorted(made[r["doc_id"]]) for r in rows)
+
+
+def test_mixing_deals_shards_by_the_tree(spark, monkeypatch):
+    from meshweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 3_000)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    docs = docs_of(spark, ["w " * n for n in range(1, 150)], ["ab"[n % 2] for n in range(1, 150)])
+    sources, shards = mixing.recipe([("a", sum(range(2, 150, 2))), ("b", sum(range(1, 150, 2)))], 17)
+    words = Counter()
+    for r in mixing.taken_words(docs).collect():
+        for p in r["by_shard"]:
+            words["ab"[(r["doc_id"] + 1) % 2], p["shard"]] += p["words"]
+    assert shards == 6
+    for s in sources:
+        block = s.size / s.blocks
+        for shard, draws in enumerate(np.diff(s.owned)):
+            assert abs(words[s.name, shard] - draws * block) <= 2 * block + draws
+
+
+def test_mixing_takes_any_rows(spark):
+    from meshweave.llm.mixing import mix, taken_words
+
+    rows = [(None, "a b c", None), (None, "a b d", None), (7, "same text", "x"), (7, "same text", "x"), (7, "other words", "x"), (8, None, None), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("row", "size", "start", "pieces", "group", "order", "bucket", "x", "shard", "target")])
+    out = mix(clash)
+    assert set(out.columns) == set(clash.columns) | {"slot", "turn", "first_word", "n_words_taken"} and {r["size"] for r in out.collect()} == {1}
+    assert sorted(map(str, mix(docs).collect())) == sorted(map(str, mix(docs.repartition(3)).collect()))
+    assert taken_words(docs).count() == len(rows)
+    long = mix(docs_of(spark, ["word " * 400_000]))  # in time proportional to the text
+    assert long.agg(F.sum("n_words_taken")).first()[0] == 600_000
 
 
 # --- 2 top-k ----------------------------------------------------------------
@@ -109,10 +159,16 @@ def test_token_counts_equal_the_library(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [None, "", " \n", "Hello's <|endoftext|> it's<|startoftext|>X", "á ́b\x1c c 1234abc ÄÖ ΑΣ σ", "word " * 400, "9" * 300, "x" * 70_000, "12ab" * 30_000, "\U0001f600" * 50]
     library = Tokenizer.from_file(path)
+    texts += [texts[3], "word " + "y" * 100 + " word"]
     got = {r["doc_id"]: r for r in token_counts.token_counts(docs_of(spark, texts), path).collect()}
     for i, t in enumerate(texts):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 2048)
+    assert len(got) == len(texts) and token_counts.token_counts(docs_of(spark, texts).limit(0), path).count() == 0
+    other = public_tokenizers.path("byte_bpe_50k.json")  # white space counts: whole texts
+    library = Tokenizer.from_file(other)
+    for r in token_counts.token_counts(docs_of(spark, texts), other).collect():
+        assert r["n_tokens"] == len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids)
 
 
 # --- 4 WARC -----------------------------------------------------------------------
@@ -184,10 +240,40 @@ def test_quality_keeps_good_and_exact_k(spark):
     fixed = Selector(docs, labels, k=37)
     assert fixed.select(docs).count() == 37
     keys = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(rng.integers(0, 9, 500))], "doc_id long, key double")
+    clash = docs.select("*", *[F.lit(c).alias(c) for c in ("raw", "key", "log_weight", "n_grams", "row", "per_gram")])
+    out = chosen.select(clash)
+    assert out.columns == clash.columns and {tuple(r[c] for c in ("raw", "key", "row")) for r in out.collect()} == {("raw", "key", "row")}
+    long = docs_of(spark, [good[0] * 20_000, None, "", *good[:40]])
+    assert set(range(3, 43)) <= {r["doc_id"] for r in chosen.select(long).collect()}
+    assert Selector(long.unionAll(long), labels).scores().count() == 86  # repeated rows, a long text
     value, last, _ = kth_largest(keys, 123)
     want = sorted(keys.collect(), key=lambda r: (-r["key"], r["doc_id"]))[122]
     assert (value, last) == (want["key"], want["doc_id"])
     assert Selector(docs.limit(0), labels).scores().count() == 0
+    assert Selector(docs, labels.where("quality = 0")).select(docs).count() == docs.count()
+
+
+def test_quality_equals_brute_force(spark):
+    """Log weights of both models and the k largest keys, from plain counts."""
+    from meshweave.llm import quality
+
+    rng = np.random.default_rng(16)
+    vocab = ["w%d" % i for i in range(50)]
+    texts = [None, "", *(" ".join(rng.choice(vocab, int(rng.integers(1, 30)))) + "." for _ in range(80)), "x*** y" * 5]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    chosen = quality.Selector(docs, labels, k=20)
+    slots = [[int(x) for part in quality.Hasher().slots((t or "").encode()) for x in part] for t in texts]
+    model = lambda ids: Counter(x for i in ids for x in slots[i])
+    target, raw = model(i for i in range(40) if i % 3), model(range(len(texts)))
+    of = lambda c, x: (c[x] + 0.5) / (sum(c.values()) + 0.5 * quality.SLOTS)
+    rows = {r["doc_id"]: r for r in chosen.scores().collect()}
+    for i, own in enumerate(slots):
+        assert rows[i]["n_grams"] == len(own) and rows[i]["log_weight"] == pytest.approx(sum(np.log(of(target, x) / of(raw, x)) for x in own), abs=1e-6)
+    best = sorted(rows, key=lambda i: -rows[i]["key"])[:20]
+    assert {i for i in rows if rows[i]["kept"]} == set(best)
+    noise = [rows[i]["key"] - rows[i]["log_weight"] for i in rows]
+    assert 0 < np.mean(noise) < 1.2 and 0.8 < np.std(noise) < 1.8  # Gumbel: 0.58 and 1.28
 
 
 # --- 10 SimHash -----------------------------------------------------------------------

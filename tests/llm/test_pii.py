@@ -36,7 +36,7 @@ TEXTS = [
     None, "", "nothing here", "mail a.b@c.de, x@y or z@w.org.uk. a@b.c_d@e.f a@b@c.d .@-.-", "1.2.3.4 1.2.3.4.5 256.1.1.1 0001.002.03.4 999999999999.1.1.1 1..2.3.4",
     "é 4111 1111 1111 1111 ü 4111-1111-1111-1112 4111111111111111111 5500005555555559 x", "+1 (743) 555-3824 +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 +49(30)1234567)) +1-",
     "call +1 555 010 9999 ssn 123-45-6789 000-12-3456 GB82 WEST 1234 5698 7654 32 iban GB82 WEST 1234 5698 7654 33 tel (212) 555-0199 joe [at] mail [dot] com",
-    "a" * 60_000, "1" * 60_000, "a@b" + ".c" * 20_000, "1 " * 20_000, "+1" + "(" * 20_000, "x@y.z " * 1500, "\U0001f600 u@v.com \U0001f600 1.1.1.1",
+    "a" * 60_000, "1" * 60_000, "a@b" + ".c" * 20_000, "1 " * 20_000, "+1" + "(" * 20_000, "x@y.z " * 1500, "12 x " * 30_000, "1.1.1.1 123-45-6789 " * 3_000, "\U0001f600 u@v.com \U0001f600 1.1.1.1",
 ]
 
 
