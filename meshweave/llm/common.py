@@ -74,7 +74,12 @@ def _clear_at_exit(spark: SparkSession) -> None:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete the files behind frames of ``cut`` and ``written`` that nothing will read again."""
+    """Delete the files behind frames of ``cut`` and ``written`` that nothing will read again.
+
+    The JVM is asked to collect garbage, upon which Spark deletes the shuffles that nothing refers to.
+    """
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
     for df in frames:
         path = df.__dict__.get("_stored_at")
         if path is None:

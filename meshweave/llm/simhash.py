@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -233,8 +234,9 @@ SAMPLE, COMMON = 5_000, 200_000
 LEADER_TURNS = 2
 #: Members of a list in one block; a longer list is dealt over blocks, and each two of them meet in the exact turn.
 BLOCK = 512
-#: Longs of a node's parities.
+#: Longs of a node's parities; they tell little about sets of over ``LONG_SET`` shingles, which have bucket counts besides.
 _WIDTH = 16
+LONG_SET = 1_500
 
 
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
@@ -288,8 +290,23 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def bucket_counts(shingles: np.ndarray) -> bytes | None:
+    """How many hashes of a long set fall to each of about an eighth as many buckets (a power of two), 255 at most."""
+    if len(shingles) <= LONG_SET:
+        return None
+    buckets = 1 << (len(shingles) // 8).bit_length()
+    return np.minimum(np.bincount(shingles & (buckets - 1), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least, by their bucket counts; those of more buckets are folded."""
+    one, other = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+    n = min(len(one), len(other))
+    return int(np.abs(one.reshape(-1, n).sum(0) - other.reshape(-1, n).sum(0)).sum())
+
+
 def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``doc_id, print, node, size, lists, parity`` of every row: hashes of its text and of its set of shingles, and of the set its size, posting lists and parities."""
+    """``doc_id, print, node, size, lists, parity, counts`` of every row: hashes of its text and of its set of shingles, and of the set its size, posting lists, parities and bucket counts."""
     common.bound_batches(docs.sparkSession)
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
@@ -297,27 +314,33 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
         keys, counts = order.value
         none = np.zeros(0, np.int64)
         for batch in batches:
-            nodes, sizes, lists, parity = [], [], [], []
+            nodes, sizes, lists, parity, buckets = [], [], [], [], []
             for x in batch.column(2):
                 held = shingle_set(_bytes(x), k)
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), SEED) if len(held) else 0)
                 sizes.append(len(held))
                 lists.append(prefix(held, keys, counts, similarity))
                 parity.append(parities(held))
+                buckets.append(bucket_counts(held))
             arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
             arrays += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([none, *x]))) for x in (lists, parity)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "print", "node", "size", "lists", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, pa.array(buckets, pa.binary())], names=["doc_id", "print", "node", "size", "lists", "parity", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {kind}, print long, node long, size int, lists array<long>, parity array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, print long, node long, size int, lists array<long>, parity array<long>, counts binary")
 
 
 def distinct_lists(posted: DataFrame) -> DataFrame:
     """``node, value``: the lists of several members; of lists with equal members (by 128 bits of hashes) one."""
-    per = posted.groupBy("value").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64({i}, node))").alias(f"x{i}") for i in (1, 2)]).where("n > 1")
-    one = common.cut(per.groupBy("n", "x1", "x2").agg(F.min("value").alias("value")).select("value"))
-    return posted.join(common.maybe_broadcast(one), "value", "left_semi").select("node", "value")
+    whole = Window.partitionBy("value")  # one exchange of ids; most lists have one member and end here
+    hashes = [F.expr(f"bit_xor(xxhash64({i}, node))").over(whole).alias(f"x{i}") for i in (1, 2)]
+    several = posted.select("node", "value", F.count("*").over(whole).alias("n"), *hashes).where("n > 1")
+    several = common.written(several, "several")
+    one = common.cut(several.groupBy("n", "x1", "x2").agg(F.min("value").alias("value")).select("value"))
+    found = common.written(several.join(common.maybe_broadcast(one), "value", "left_semi").select("node", "value"), "posted")
+    common.release(several, one)
+    return found
 
 
 class Members:
@@ -327,18 +350,23 @@ class Members:
         self.sizes = np.asarray(lists.value_lengths())
         self.first = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         flat = lists.flatten()
-        node, label, size, parity = flat.flatten()
+        node, label, size, parity, self.counts = flat.flatten()
         self.node, self.label, self.size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (node, label, size))
         self.parity = parity.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WIDTH)
 
     def close(self, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-        """Whether sizes and parities allow members ``a`` and ``b`` (positions) to be similar.
+        """Whether sizes, parities and bucket counts allow members ``a`` and ``b`` (positions) to be similar.
 
-        Two sets differ in at least as many shingles as their sizes or their parities.
+        Two sets differ in at least as many shingles as any of these.
         """
+        a, b = np.broadcast_arrays(a, b)
         most = share * (self.size[a] + self.size[b]) + 1e-6
-        apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).sum(-1)
-        return (np.abs(self.size[a] - self.size[b]) <= most) & (apart <= most)
+        near = np.abs(self.size[a] - self.size[b]) <= most
+        at = np.nonzero(near)[0]
+        near[at] = np.bitwise_count(self.parity[a[at]] ^ self.parity[b[at]]).sum(-1) <= most[at]
+        for i in np.nonzero(near & (np.minimum(self.size[a], self.size[b]) > LONG_SET))[0]:
+            near[i] = least_apart(self.counts[int(a[i])].as_py(), self.counts[int(b[i])].as_py()) <= most[i]
+        return near
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         """``u, v, from, to`` of members, the lesser node first."""
@@ -424,7 +452,7 @@ def blocks_of(placed: DataFrame, sketch: DataFrame) -> DataFrame:
     counts = placed.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("value", "node"), F.col("blocks")).cast("int")
     dealt = placed.join(counts, "value").withColumn("own", own).join(sketch, "node")
-    members = F.sort_array(F.collect_list(F.struct("node", "label", "size", "parity"))).alias("members")
+    members = F.sort_array(F.collect_list(F.struct("node", "label", "size", "parity", "counts"))).alias("members")
     return dealt.groupBy("value", "own").agg(F.first("blocks").alias("blocks"), members)
 
 
@@ -480,13 +508,19 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
     turn is exact: every pair of different classes that a list still holds is ruled out by a
     bound or verified, long lists in tiles of two blocks.
     """
-    prints = common.written(prefixes(docs, k, similarity), "prefixes")
-    nodes = prints.groupBy("node").agg(*[F.min("print").alias("print"), *(F.first(c).alias(c) for c in ("size", "lists", "parity"))])
-    nodes = common.written(nodes, "nodes")
-    posted = common.written(distinct_lists(nodes.select("node", F.explode("lists").alias("value"))), "posted")
-    sketch = nodes.select("node", "size", "parity")
-    labels = None
-    for turn in range(LEADER_TURNS + 1):
+    rows = common.written(prefixes(docs, k, similarity), "prefixes")
+    prints = common.written(rows.select("doc_id", "print", "node"), "prints")
+    found = rows.groupBy("node").agg(*[F.min("print").alias("print"), *(F.first(c).alias(c) for c in ("size", "lists", "parity", "counts"))])
+    found = common.written(found, "sets")
+    common.release(rows)
+    nodes = common.written(found.drop("lists"), "nodes")
+    posted = distinct_lists(found.select("node", F.explode("lists").alias("value")))
+    common.release(found)
+    sketch = nodes.select("node", "size", "parity", "counts")
+    labels, turn, several = None, 0, True
+    while turn <= LEADER_TURNS:
+        if turn == 1 and not several:  # no list is longer than a block
+            turn = LEADER_TURNS
         if labels is None:  # every node is a class
             placed = posted.withColumn("label", F.col("node"))
         else:
@@ -496,6 +530,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
             if turn < LEADER_TURNS:
                 placed = placed.groupBy("value", "label").agg(F.min("node").alias("node"))
         blocks = common.written(blocks_of(placed, sketch), "blocks")
+        several = not blocks.where("blocks > 1").isEmpty()
         found = leader_pairs(blocks, similarity) if turn < LEADER_TURNS else possible_pairs(blocks, similarity)
         pairs = common.cut(found.distinct())
         common.release(blocks)
@@ -509,9 +544,10 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
                 old = labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
                 labels = common.cut(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")))
         common.release(pairs, met)
+        turn += 1
     every = nodes.select("node")
     labels = every.withColumn("label", F.col("node")) if labels is None else every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return prints.select("doc_id", "print", "node"), labels
+    return prints, labels
 
 
 def one_of_each_class(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

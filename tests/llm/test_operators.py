@@ -407,6 +407,19 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.one_of_each_class(twice.unionAll(twice)).collect()] == [None]
 
 
+def test_bounds_never_exceed_the_difference():
+    from meshweave.llm.simhash import bucket_counts, least_apart
+
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((2000, 2000, 1900), (1600, 9000, 1000), (5000, 4000, 0), (40_000, 39_000, 20_000)):
+        a, b = (np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, x)) for x in (n, m))
+        b[: min(shared, len(a))] = a[:shared]
+        apart = len(np.setxor1d(a, b))
+        assert apart / 4 < least_apart(bucket_counts(a), bucket_counts(b)) <= apart
+        assert least_apart(bucket_counts(a), bucket_counts(a)) == 0
+    assert bucket_counts(a[:100]) is None
+
+
 def test_near_copies_in_hot_lists(spark, monkeypatch):
     """Hundreds of texts below the limit around one passage, with pairs among them, and stars of edited copies."""
     from meshweave.llm import simhash
@@ -427,6 +440,10 @@ def test_near_copies_in_hot_lists(spark, monkeypatch):
             for at in rng.choice(np.arange(5, 195, 6), 3, replace=False):
                 copy[at] = pick(1)[0]
             texts.append(" ".join(copy))
+    base = pick(3000)  # long sets: near copies, halves shared, one of another size
+    for shared in (3000, 2900, 2700, 1500, 1400, 200):
+        texts.append(" ".join(base[:shared] + pick(3000 - shared)))
+    texts.append(" ".join(base[:2500]))
     order = rng.permutation(len(texts))
     texts = [texts[i] for i in order]
     want = brute_copies(texts)
