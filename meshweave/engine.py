@@ -39,7 +39,9 @@ class MeshDataset:
         return self._once("cells", lambda: grid.cells_of(self.objects, self.frame))
 
     def persist(self) -> MeshDataset:
+        """Keep triangles, and edges and objects once they are asked for, so that each query does not derive them anew."""
         self.triangles = self.triangles.persist()
+        self._kept = {"objects": objects.features(self.triangles).persist(), "edges": edges.unique_edges(self.triangles).persist()}
         return self
 
 
@@ -63,15 +65,15 @@ def filter_refine(points: DataFrame, mesh: MeshDataset) -> DataFrame:
 
 
 def overlap(a: MeshDataset, b: MeshDataset, direction: str = "both") -> DataFrame:
-    return joins.overlap(a.triangles, b.triangles, direction)
+    return joins.overlap(a, b, direction)
 
 
 def intersection(a: MeshDataset, b: MeshDataset, direction: str = "both") -> DataFrame:
-    return joins.intersection(a.triangles, b.triangles, direction)
+    return joins.intersection(a, b, direction)
 
 
 def containment(a: MeshDataset, b: MeshDataset, include_overlap_pairs: bool = False) -> DataFrame:
-    return joins.containment(a.triangles, b.triangles, include_overlap_pairs)
+    return joins.containment(a, b, include_overlap_pairs)
 
 
 def pair_hits(a: MeshDataset, b: MeshDataset) -> DataFrame:

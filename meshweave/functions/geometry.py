@@ -84,6 +84,20 @@ def segment_hits_triangle(s: Vec, e: Vec, p: Vec, q: Vec, r: Vec) -> Column:
     return (det != 0) & (n >= EPS) & (u >= 0) & (v >= 0) & (u + v <= size) & (t * n >= F.lit(EPS) * size) & (t * n <= (n + EPS) * size)
 
 
+def segment_hits_plane_triangle(s: Vec, e: Vec, p: Vec, q: Vec, r: Vec, normal: Vec) -> Column:
+    """``segment_hits_triangle`` with the triangle's normal at hand: what the normal decides comes first.
+
+    The determinant is ``-d . n`` and the place along the segment ``m . n`` over it, so segments
+    that stay on one side of the plane are out after two dot products.
+    """
+    d, m, e1, e2 = sub(e, s), sub(s, p), sub(q, p), sub(r, p)
+    det, t, n = -dot(d, normal), dot(m, normal), length(d)
+    u, v = dot(m, cross(d, e2)) * det, dot(d, cross(m, e1)) * det
+    reach = t * det * n
+    plane = (det != 0) & (reach >= det * det * EPS) & (reach <= det * det * (n + EPS))
+    return (n >= EPS) & plane & (u >= 0) & (v >= 0) & (u + v <= det * det)
+
+
 def _crosses(x: Column, y: Column, a: Vec, b: Vec) -> Column:
     """Whether the edge crosses the ray from (x, y) towards +x; both directions of an edge compute alike."""
     up = (a[1] < b[1]) | ((a[1] == b[1]) & (a[0] <= b[0]))
@@ -199,7 +213,9 @@ def in_triangle_cylinder(x: Vec, p: Vec, q: Vec, r: Vec) -> Column:
 
 
 def quantise(x: Column, scale_: float = 1e5) -> Column:
-    return F.round(x * scale_).cast("long")
+    """The nearest whole number of ``1 / scale_``, halves away from zero (``round`` would go through decimals)."""
+    y = x * scale_
+    return F.when(y < 0, -F.floor(F.lit(0.5) - y)).otherwise(F.floor(y + 0.5))
 
 
 def cell_index(cx: Column, cy: Column, cz: Column, res: int) -> Column:

@@ -1,68 +1,74 @@
 """Box joins: the broad phase of all spatial joins, as an equi-join on grid cells.
 
-An object belongs to the level whose cells are at least as large as it is, so it
-touches at most 8 cells of that level and of each coarser one. A pair meets at
+Cells of level n have sides of ``2 ** n``. A box stands at the level whose cells are just as large as
+it is, so it touches at most 8 cells of that level and of each coarser one. A pair meets at
 the coarser of its two levels, in the one cell that holds the low corner of the
-boxes' common part, so no pair is made twice and nothing needs a distinct. Levels
-are few: cells double from one to the next.
+boxes' common part, so no pair is made twice and nothing needs a distinct. Which levels are in
+use is one small aggregate over both sides, the only job that runs before the lazy plan.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import AXES, BOX
 
+#: Levels of boxes without extent and of the largest ones.
+LEAST, MOST = -24, 60
+
+
+def usable(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose coordinates are all there and finite, in columns that cannot be null (which keeps generated code small)."""
+    columns = columns or BOX
+    fine = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")) for c in columns])
+    return df.where(fine).withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns})
+
 
-def base_cell(*sides: DataFrame) -> float:
-    """A cell size near the mean extent of the boxes (one aggregate over each side)."""
-    extent = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES])
-    found = [df.agg(F.avg(extent)).first()[0] for df in sides]
-    return max([x for x in found if x] or [1.0])
+def extent(axes: tuple[str, ...] = AXES) -> Column:
+    return F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in axes])
 
 
-def level_of(cell: float) -> Column:
-    """The level of a box: 0 if it is no larger than a cell, and one more for each doubling."""
-    extent = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES])
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-300)) / cell))).cast("int")
+def level_of(size: Column, finer: int = 0) -> Column:
+    """The level of a box of a size; ``finer`` levels below it."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1e-300)))) - finer, F.lit(LEAST)), F.lit(MOST)).cast("int")
 
 
-def levels_of(cell: float, *sides: DataFrame) -> list[int]:
-    """The levels in use on any side; a handful of numbers."""
-    found: set[int] = set()
-    for df in sides:
-        found |= {r[0] for r in df.select(level_of(cell).alias("l")).distinct().collect()}
-    return sorted(found)
+def levels_of(*sides: DataFrame, size: Column | None = None, finer: int = 0) -> list[int]:
+    """The levels in use on any side, at most ``MOST - LEAST + 1`` numbers: one job."""
+    found = reduce(DataFrame.unionByName, [df.select(level_of(extent() if size is None else size, finer).alias("level")) for df in sides])
+    return sorted(r[0] for r in found.distinct().collect())
 
 
-def _placed(df: DataFrame, prefix: str, cell: float, levels: list[int]) -> DataFrame:
+def _placed(df: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
     """One row for each cell of each level that a box takes part in."""
-    rows = df.select(*[F.col(c).alias(prefix + c) for c in df.columns], level_of(cell).alias(prefix + "level"))
+    rows = df.select(*[F.col(c).alias(prefix + c) for c in df.columns], level_of(extent()).alias(prefix + "level"))
     rows = rows.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col(prefix + "level"))))
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    size = F.pow(F.lit(2.0), F.col("level"))
     for a in AXES:
         low, high = (F.floor(F.col(f"{prefix}{m}_{a}") / size) for m in ("min", "max"))
         rows = rows.withColumn(f"cell_{a}", F.explode(F.sequence(low, high)))
     return rows
 
 
-def box_join(a: DataFrame, b: DataFrame, cell: float | None = None, reach: float = 0.0, predicate: Column | None = None) -> DataFrame:
+def box_join(a: DataFrame, b: DataFrame, reach: float = 0.0, predicate: Column | None = None) -> DataFrame:
     """Pairs of rows whose boxes intersect; columns get the prefixes ``a_`` and ``b_``.
 
-    Both sides have ``min_x`` to ``max_z``. With ``reach`` boxes up to that far apart meet;
-    ``predicate`` replaces the strict intersection of boxes.
+    Both sides have ``min_x`` to ``max_z``; rows with unusable boxes meet nothing. With ``reach``
+    boxes up to that far apart meet; ``predicate`` replaces the strict intersection of boxes.
     """
+    a, b = usable(a), usable(b)
     if reach:
         wide = {f"{m}_{x}": F.col(f"{m}_{x}") + (reach if m == "max" else -reach) for m in ("min", "max") for x in AXES}
         kept = {f"own_{c}": F.col(c) for c in BOX}
         a = a.withColumns(kept).withColumns(wide)
         b = b.withColumns({f"own_{c}": F.col(c) for c in BOX})
-    cell = cell or base_cell(a, b)
-    levels = levels_of(cell, a, b) or [0]
-    left, right = _placed(a, "a_", cell, levels), _placed(b, "b_", cell, levels)
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    levels = levels_of(a, b) or [0]
+    left, right = _placed(a, "a_", levels), _placed(b, "b_", levels)
+    size = F.pow(F.lit(2.0), F.col("level"))
     met = left.join(right, ["level", "cell_x", "cell_y", "cell_z"])
     once = F.col("level") == F.greatest("a_level", "b_level")
     for x in AXES:
@@ -76,7 +82,7 @@ def box_join(a: DataFrame, b: DataFrame, cell: float | None = None, reach: float
     return met
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
+def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """``a_object_id, b_object_id`` of objects (with boxes) whose boxes strictly intersect."""
     keep = lambda df: df.select("object_id", *BOX)
-    return box_join(keep(a), keep(b), cell).select("a_object_id", "b_object_id")
+    return box_join(keep(a), keep(b)).select("a_object_id", "b_object_id")

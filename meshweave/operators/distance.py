@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 from ..runtime import cut
 from ..schema import BOX, TRIANGLE
-from .candidates import base_cell, box_join
+from .candidates import box_join, extent, usable
 from .objects import boxes
 
 NAMES = ("a_object_id", "b_object_id")
@@ -40,20 +41,36 @@ def within_distance_join(a: DataFrame, b: DataFrame, distance: float, same: bool
 def knn_join(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame:
     """The ``k`` objects of ``b`` whose boxes are nearest to each of ``a``: ``mindist``, then centre distance, then id.
 
-    The radius doubles until every object has ``k`` neighbours within it; objects that
-    have them drop out of later rounds.
+    The radius starts where a box of that reach holds about ``k`` objects of ``b`` if they lie evenly, or at the gap
+    to all of them, and doubles until every object has ``k`` neighbours within it; objects that
+    have them drop out of later rounds. Objects without a usable box have no neighbours and are none;
+    the search ends when the radius spans both datasets.
     """
-    left, right = cut(_boxes(a).select("object_id", *BOX)), cut(_boxes(b).select("object_id", *BOX))
-    most = right.count() - int(same)
+    left, right = cut(usable(_boxes(a).select("object_id", *BOX))), cut(usable(_boxes(b).select("object_id", *BOX)))
+    most = right.count()
     k_here = min(k, most)
-    radius, open_, done = base_cell(left, right), left, []
+    own, all_ = (df.agg(*[getattr(F, c[:3])(c).alias(c) for c in BOX], F.avg(extent()).alias("size")).first() for df in (left, right))
+    if k_here < 1 or own["min_x"] is None:
+        radius = span = -1.0
+    else:
+        spans = [all_[f"max_{x}"] - all_[f"min_{x}"] for x in "xyz"]
+        gap = max(max(own[f"min_{x}"] - all_[f"max_{x}"], all_[f"min_{x}"] - own[f"max_{x}"], 0.0) for x in "xyz")
+        span = sum((max(own[f"max_{x}"], all_[f"max_{x}"]) - min(own[f"min_{x}"], all_[f"min_{x}"])) ** 2 for x in "xyz") ** 0.5 + 1e-9
+        volume = math.prod(max(s, all_["size"], 1e-9) for s in spans)
+        radius = max(gap, ((k_here + 1) * volume / most) ** (1 / 3) / 2, span * 1e-9)
+    open_, done = left, []
     rank = Window.partitionBy("a_object_id").orderBy("mindist", "centredist", "b_object_id")
-    while k_here > 0 and not open_.isEmpty():
+    last = span < 0
+    while not last and not open_.isEmpty():
+        last = radius >= span  # every pair is within reach: what is found is all there is
         met = box_join(open_, right, reach=radius).withColumn("mindist", g.box_gap()).where(F.col("mindist") <= radius)
         if same:
             met = met.where(F.col("a_object_id") != F.col("b_object_id"))
         best = met.withColumn("centredist", g.box_centre_distance()).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k_here)
         best = cut(best.select(*NAMES, "rank", "mindist", "centredist"))
+        if last:
+            done.append(best)
+            break
         full = best.where(F.col("rank") == k_here).select(F.col("a_object_id").alias("object_id"))
         done.append(best.join(full, best["a_object_id"] == full["object_id"], "left_semi"))
         open_ = cut(open_.join(full, "object_id", "left_anti"))

@@ -25,15 +25,19 @@ def unique_edges(triangles: DataFrame) -> DataFrame:
     The ends are those of the first triangle that has the edge; owners stand in the
     order of their first triangles.
     """
-    rows = triangle_edges(triangles)
     ends = [F.struct(*[g.quantise(F.col(c + a)).alias(a) for a in AXES]) for c in "se"]
-    key = F.struct(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    rows = triangle_edges(triangles).select("tri_idx", "edge_no", "object_id", *SEGMENT, F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    spread = [F.col(f"{end}.{a}").alias(f"{end}_{a}") for end in ("low", "high") for a in AXES]
+    rows = rows.select("tri_idx", "edge_no", "object_id", *SEGMENT, *spread)
+    keys = [f"{end}_{a}" for end in ("low", "high") for a in AXES]
+    # a hash leads the key: rows sort by one number, and the rest decides only where hashes are equal
     own = F.transform(F.array_sort(F.collect_list(F.struct("tri_idx", "edge_no", "object_id"))), lambda x: x["object_id"])
-    found = rows.groupBy(key.alias("key")).agg(
-        F.min_by(F.struct(*SEGMENT), F.struct("tri_idx", "edge_no")).alias("x"),
+    found = rows.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(
+        F.min(F.struct("tri_idx", "edge_no", *SEGMENT)).alias("x"),
         F.array_distinct(own).alias("source_objects"), F.count("*").alias("n_triangles"),
     )
-    return found.select("key", "x.*", "source_objects", "n_triangles")
+    key = F.struct(*[F.struct(*[F.col(f"{end}_{a}").alias(a) for a in AXES]).alias(end) for end in ("low", "high")])
+    return found.select(key.alias("key"), *[F.col(f"x.{c}") for c in SEGMENT], "source_objects", "n_triangles")
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "edge_idx", start: int = 0) -> DataFrame:

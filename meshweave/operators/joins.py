@@ -6,12 +6,15 @@ on cells or ids with a residual predicate, never a nested loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..schema import AXES, BOX, TRIANGLE
-from .candidates import base_cell, box_join, level_of, levels_of
+from ..runtime import cut
+from ..schema import AXES, SEGMENT, TRIANGLE
+from .candidates import box_join, extent, level_of, levels_of, usable
 from .edges import triangle_edges, unique_edges
 from .objects import boxes, dataset_bounds, first_vertices
 
@@ -21,24 +24,38 @@ PAIR = ("object_id_mesh1", "object_id_mesh2")
 # --- points -------------------------------------------------------------------
 
 
-def point_hits(points: DataFrame, triangles: DataFrame, above: float = 1e-6, closed: bool = False, cell: float | None = None) -> DataFrame:
+def _slopes(of: str, a: str, b: str) -> list[Column]:
+    """An edge of a triangle seen along z, from its lower end (in y, then x) to its upper: both directions of an edge give the same."""
+    low = (F.col(a + "y") < F.col(b + "y")) | ((F.col(a + "y") == F.col(b + "y")) & (F.col(a + "x") <= F.col(b + "x")))
+    ends = [F.when(low, F.col(u + x)).otherwise(F.col(v + x)) for u, v in ((a, b), (b, a)) for x in "xy"]
+    return [e.alias(f"{of}{n}") for e, n in zip(ends, ("lx", "ly", "hx", "hy"))]
+
+
+def point_hits(points: DataFrame, triangles: DataFrame, above: float = 1e-6, closed: bool = False) -> DataFrame:
     """``point_id, object_id, tri_idx, t``: the triangles above each point, on the ray towards +z.
 
     Points and triangles meet in columns of cells of the xy plane, by an equi-join;
-    ``t`` is the rise, over ``above`` (or equal to it, if ``closed``).
+    ``t`` is the rise, over ``above`` (or equal to it, if ``closed``). Triangles that stand upright are never above.
     """
-    faces = triangles.withColumns({f"{m}_{a}": getattr(F, how)(*[c + a for c in "pqr"]) for m, how in (("min", "least"), ("max", "greatest")) for a in AXES})
-    cell = cell or base_cell(faces)
-    levels = levels_of(cell, faces) or [0]  # a triangle stands at its own level, a point looks at every level in use
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
-    span = lambda a: F.sequence(F.floor(F.col(f"min_{a}") / size), F.floor(F.col(f"max_{a}") / size))
-    dealt = faces.withColumn("level", level_of(cell)).select("level", "tri_idx", "object_id", *TRIANGLE, "max_z", F.explode(span("x")).alias("cell_x"), span("y").alias("_y")).select("*", F.explode("_y").alias("cell_y")).drop("_y")
-    asked = points.select("point_id", "x", "y", "z", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    asked = asked.select("*", F.floor(F.col("x") / size).alias("cell_x"), F.floor(F.col("y") / size).alias("cell_y"))
-    here = (F.col("x"), F.col("y"), F.col("z"))
+    faces = usable(triangles, *TRIANGLE)
     p, q, r = g.vec("p"), g.vec("q"), g.vec("r")
-    met = asked.join(dealt, ["level", "cell_x", "cell_y"]).where((F.col("z") < F.col("max_z")) & g.zray_covers(here, p, q, r))
-    met = met.select("point_id", "object_id", "tri_idx", g.zray_rise(here, p, q, r).alias("t"))
+    normal = g.triangle_normal(p, q, r)
+    faces = faces.select("tri_idx", "object_id", *TRIANGLE, *[n.alias("n" + x) for n, x in zip(normal, AXES)]).where("nz <> 0")
+    bounds = {f"{m}_{x}": getattr(F, how)(*[c + x for c in "pqr"]) for m, how in (("min", "least"), ("max", "greatest")) for x in AXES}
+    faces = faces.withColumns(bounds)
+    level = level_of(extent(("x", "y")), 1)
+    levels = levels_of(faces, size=extent(("x", "y")), finer=1) or [0]  # a triangle stands at its own level, a point looks at every level in use
+    size = F.pow(F.lit(2.0), F.col("level"))
+    span = lambda x: F.sequence(F.floor(F.col(f"min_{x}") / size), F.floor(F.col(f"max_{x}") / size))
+    sides = [c for name, (u, v) in zip("abc", (("p", "q"), ("q", "r"), ("r", "p"))) for c in _slopes(name, u, v)]
+    dealt = faces.withColumn("level", level).select("level", "tri_idx", "object_id", "px", "py", "pz", "nx", "ny", "nz", "max_z", *sides, F.explode(span("x")).alias("cell_x"), span("y").alias("_y")).select("*", F.explode("_y").alias("cell_y")).drop("_y")
+    asked = usable(points.select("point_id", "x", "y", "z"), *AXES).select("*", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    asked = asked.select("*", F.floor(F.col("x") / size).alias("cell_x"), F.floor(F.col("y") / size).alias("cell_y"))
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    crosses = [(F.col(f"{e}ly") <= y) & (y < F.col(f"{e}hy")) & ((x - F.col(f"{e}lx")) * (F.col(f"{e}hy") - F.col(f"{e}ly")) < (F.col(f"{e}hx") - F.col(f"{e}lx")) * (y - F.col(f"{e}ly"))) for e in "abc"]
+    met = asked.join(dealt, ["level", "cell_x", "cell_y"]).where((z < F.col("max_z")) & ((crosses[0] != crosses[1]) != crosses[2]))
+    rise = F.col("pz") - z - ((x - F.col("px")) * F.col("nx") + (y - F.col("py")) * F.col("ny")) / F.col("nz")
+    met = met.select("point_id", "object_id", "tri_idx", rise.alias("t"))
     return met.where(F.col("t") >= above if closed else F.col("t") > above)
 
 
@@ -83,45 +100,102 @@ def point_summary(points: DataFrame, triangles: DataFrame, **how) -> DataFrame:
 # --- overlap -------------------------------------------------------------------
 
 
-def edge_hits(edges: DataFrame, a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
-    """``a_object_id, b_object_id`` for each hit of an edge owned by an object of ``a`` on a triangle of ``b``.
+#: Edges times triangles of a pair of objects up to which they all meet; beyond, in cells.
+PAIRWISE = 20_000
+#: Levels of cells, each four times as large as the one before; the smallest are twice the mean face.
+CELL_LEVELS = 6
+
+
+def faces_of(side) -> DataFrame:
+    """The triangles of a frame of triangles or a dataset."""
+    return side if isinstance(side, DataFrame) else side.triangles
+
 
-    ``edges`` has ``object_id`` and both ends. Pairs of objects with intersecting
-    boxes come first; then edges that miss the other object's box are left out.
+def measured(side) -> DataFrame:
+    """``object_id``, its box, number of triangles and their mean extent."""
+    reach = F.greatest(*[F.greatest(*[c + x for c in "pqr"]) - F.least(*[c + x for c in "pqr"]) for x in AXES])
+    return boxes(faces_of(side), F.count("*").alias("n"), F.avg(reach).alias("face"))
+
+
+def owned_edges(side, unique: bool = True) -> DataFrame:
+    """``object_id`` and both ends of every edge, once for each owner; all three per triangle if not ``unique``.
+
+    The stored edges of a dataset are taken if it has them.
     """
-    pairs = box_join(boxes(a), boxes(b), cell).select("a_object_id", "b_object_id", *[f"b_{c}" for c in BOX])
-    ends = [F.col(c).alias(c) for c in ("sx", "sy", "sz", "ex", "ey", "ez")]
-    apart = lambda low, high: [(F.least("s" + x, "e" + x) <= F.col(f"{high}_{x}")) & (F.greatest("s" + x, "e" + x) >= F.col(f"{low}_{x}")) for x in AXES]
-    near = apart("b_min", "b_max")
-    some = pairs.join(edges.select(F.col("object_id").alias("a_object_id"), *ends), "a_object_id").where(near[0] & near[1] & near[2]).drop(*[f"b_{c}" for c in BOX])
-    faces = b.select(F.col("object_id").alias("b_object_id"), *TRIANGLE, *[getattr(F, how)(*[c + x for c in "pqr"]).alias(f"t{m}_{x}") for m, how in (("min", "least"), ("max", "greatest")) for x in AXES])
-    close = apart("tmin", "tmax")
-    hit = g.segment_hits_triangle(g.vec("s"), g.vec("e"), g.vec("p"), g.vec("q"), g.vec("r"))
-    return some.join(faces, "b_object_id").where(close[0] & close[1] & close[2]).where(hit).select("a_object_id", "b_object_id")
-
-
-def owned_edges(triangles: DataFrame, unique: bool = True) -> DataFrame:
-    """``object_id`` and both ends of every edge, once for each owner; all three per triangle if not ``unique``."""
     if not unique:
-        return triangle_edges(triangles)
-    return unique_edges(triangles).select(F.explode("source_objects").alias("object_id"), "sx", "sy", "sz", "ex", "ey", "ez")
+        return triangle_edges(faces_of(side))
+    found = unique_edges(side) if isinstance(side, DataFrame) else side.edges
+    return found.select(F.explode("source_objects").alias("object_id"), *SEGMENT)
 
 
-def overlap_hits(a: DataFrame, b: DataFrame, direction: str = "both", unique: bool = True, cell: float | None = None) -> DataFrame:
-    """Pairs, once for each hit of an edge of one side on a triangle of the other."""
-    found = []
-    if direction in ("both", "mesh1_to_mesh2"):
-        found.append(edge_hits(owned_edges(a, unique), a, b, cell).toDF(*PAIR))
-    if direction in ("both", "mesh2_to_mesh1"):
-        found.append(edge_hits(owned_edges(b, unique), b, a, cell).toDF(*PAIR[::-1]).select(*PAIR))
-    if not found:
+def object_pairs(a, b) -> DataFrame:
+    """Pairs of objects whose boxes strictly intersect, with their common box, and the least ``cell`` (0: all their parts meet)."""
+    met = box_join(cut(measured(a)), cut(measured(b)))  # a few numbers an object, stored: levels and both directions read them
+    low = [F.greatest(f"a_min_{x}", f"b_min_{x}").alias(f"min_{x}") for x in AXES]
+    high = [F.least(f"a_max_{x}", f"b_max_{x}").alias(f"max_{x}") for x in AXES]
+    cell = F.when(F.col("a_n") * F.col("b_n") <= PAIRWISE, F.lit(0.0)).otherwise(F.greatest((F.col("a_face") + F.col("b_face")), F.lit(1e-9)))
+    return met.select("a_object_id", "b_object_id", *low, *high, cell.alias("cell"))
+
+
+def _in_cells(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows of pairs with ``own`` (their level) and a row for each cell of each level from there on, within the common box; one row if the pair has no cells."""
+    reach = F.greatest(*[F.col(f"{high}_{x}") - F.col(f"{low}_{x}") for x in AXES])
+    own = F.when(F.col("cell") == 0, 0).otherwise(F.least(F.greatest(F.ceil(F.log2(F.greatest(reach, F.lit(1e-300)) / F.col("cell")) / 2), F.lit(0)), F.lit(CELL_LEVELS - 1))).cast("int")
+
+    def cells(level: Column) -> Column:
+        size = F.col("cell") * F.pow(F.lit(4.0), level)
+        span = lambda x: F.sequence(F.floor(F.greatest(f"{low}_{x}", f"min_{x}") / size), F.floor(F.least(f"{high}_{x}", f"max_{x}") / size))
+        at = lambda i, j, k: F.struct(level.alias("level"), i.alias("cx"), j.alias("cy"), k.alias("cz"))
+        return F.flatten(F.transform(span("x"), lambda i: F.flatten(F.transform(span("y"), lambda j: F.transform(span("z"), lambda k: at(i, j, k))))))
+
+    none = F.array(F.struct(F.lit(0).alias("level"), *[F.lit(0).cast("long").alias(c) for c in ("cx", "cy", "cz")]))
+    rows = rows.withColumn("own", own)
+    dealt = F.when(F.col("cell") == 0, none).otherwise(F.flatten(F.transform(F.sequence(F.col("own"), F.lit(CELL_LEVELS - 1)), cells)))
+    return rows.withColumn("at", F.explode(dealt)).select("*", "at.*").drop("at")
+
+
+def edge_hits(edges: DataFrame, pairs: DataFrame, faces: DataFrame) -> DataFrame:
+    """``a_object_id, b_object_id`` for each hit of an edge owned by an object of a on a triangle of b.
+
+    ``pairs`` are those of ``object_pairs``, ``edges`` has ``object_id`` and both ends. Edges and triangles
+    outside the pair's common box are left out. Those of large objects meet in cells: at the
+    coarser of their levels, in the cell of the low corner of what their boxes have in common.
+    """
+    ids, box = ("a_object_id", "b_object_id"), [f"{m}_{x}" for m in ("min", "max") for x in AXES]
+    inside = lambda low, high: reduce(Column.__and__, [(F.col(f"{low}_{x}") <= F.col(f"max_{x}")) & (F.col(f"{high}_{x}") >= F.col(f"min_{x}")) for x in AXES])
+    ends = {f"{m}_{x}": getattr(F, how)("s" + x, "e" + x) for m, how in (("elow", "least"), ("ehigh", "greatest")) for x in AXES}
+    sides = usable(edges.select(F.col("object_id").alias(ids[0]), *SEGMENT), *SEGMENT).withColumns(ends)
+    some = _in_cells(pairs.join(sides, ids[0]).where(inside("elow", "ehigh")), "elow", "ehigh").withColumnRenamed("own", "e_own").drop(*box)
+    corners = {f"{m}_{x}": getattr(F, how)(*[c + x for c in "pqr"]) for m, how in (("tlow", "least"), ("thigh", "greatest")) for x in AXES}
+    p, q, r = g.vec("p"), g.vec("q"), g.vec("r")
+    normal = {"n" + x: n for x, n in zip(AXES, g.triangle_normal(p, q, r))}
+    flat = usable(faces.select(F.col("object_id").alias(ids[1]), *TRIANGLE), *TRIANGLE).withColumns(corners).withColumns(normal)
+    others = _in_cells(pairs.join(flat, ids[1]).where(inside("tlow", "thigh")), "tlow", "thigh").withColumnRenamed("own", "t_own").drop(*box, "cell")
+    met = some.join(others, [*ids, "level", "cx", "cy", "cz"])
+    close = reduce(Column.__and__, [(F.col(f"elow_{x}") <= F.col(f"thigh_{x}")) & (F.col(f"ehigh_{x}") >= F.col(f"tlow_{x}")) for x in AXES])
+    size = F.col("cell") * F.pow(F.lit(4.0), F.col("level"))
+    corner = reduce(Column.__and__, [F.col("c" + x) == F.floor(F.greatest(f"elow_{x}", f"tlow_{x}") / size) for x in AXES])
+    once = (F.col("cell") == 0) | ((F.col("level") == F.greatest("e_own", "t_own")) & corner)
+    s, e = g.vec("s"), g.vec("e")
+    return met.where(close & once).where(g.segment_hits_plane_triangle(s, e, p, q, r, g.vec("n"))).select(*ids)
+
+
+def overlap_hits(a, b, direction: str = "both", unique: bool = True) -> DataFrame:
+    """Pairs, once for each hit of an edge of one side on a triangle of the other. Both directions share their pairs of objects."""
+    if direction not in ("both", "mesh1_to_mesh2", "mesh2_to_mesh1"):
         raise ValueError(f"direction {direction!r}")
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    pairs, found = object_pairs(a, b), []
+    if direction != "mesh2_to_mesh1":
+        found.append(edge_hits(owned_edges(a, unique), pairs, faces_of(b)).toDF(*PAIR))
+    if direction != "mesh1_to_mesh2":
+        turned = pairs.select(F.col("b_object_id").alias("a_object_id"), F.col("a_object_id").alias("b_object_id"), *pairs.columns[2:])
+        found.append(edge_hits(owned_edges(b, unique), turned, faces_of(a)).toDF(*PAIR[::-1]).select(*PAIR))
+    return reduce(DataFrame.unionByName, found)
 
 
-def overlap(a: DataFrame, b: DataFrame, direction: str = "both", unique: bool = True, cell: float | None = None) -> DataFrame:
-    """Distinct pairs of objects whose surfaces cross."""
-    return overlap_hits(a, b, direction, unique, cell).distinct()
+def overlap(a, b, direction: str = "both", unique: bool = True) -> DataFrame:
+    """Distinct pairs of objects whose surfaces cross. The sides are frames of triangles, or datasets with stored edges."""
+    return overlap_hits(a, b, direction, unique).distinct()
 
 
 # --- containment and intersection --------------------------------------------------
@@ -138,9 +212,10 @@ def vertex_inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return vertex_hits(inner, outer).groupBy("source", "target").agg(F.count("*").alias("n")).where("n % 2 = 1").select("source", "target")
 
 
-def intersection(a: DataFrame, b: DataFrame, direction: str = "both", cell: float | None = None) -> DataFrame:
+def intersection(a, b, direction: str = "both") -> DataFrame:
     """Distinct pairs that overlap or have a first vertex inside the other."""
-    found = overlap(a, b, direction, cell=cell)
+    found = overlap(a, b, direction)
+    a, b = faces_of(a), faces_of(b)
     if direction in ("both", "mesh1_to_mesh2"):
         found = found.unionByName(vertex_inside(a, b).toDF(*PAIR))
     if direction in ("both", "mesh2_to_mesh1"):
@@ -148,13 +223,14 @@ def intersection(a: DataFrame, b: DataFrame, direction: str = "both", cell: floa
     return found.distinct()
 
 
-def containment(a: DataFrame, b: DataFrame, include_overlap_pairs: bool = False, cell: float | None = None) -> DataFrame:
+def containment(a, b, include_overlap_pairs: bool = False) -> DataFrame:
     """``a_object_id, b_object_id`` with b inside a: its first vertex is, and no surfaces cross.
 
     With ``include_overlap_pairs`` the crossing pairs follow, told apart by ``pair_type``.
     """
     names = ("a_object_id", "b_object_id")
-    crossing = overlap(a, b, cell=cell).toDF(*names)
+    crossing = overlap(a, b).toDF(*names)
+    a, b = faces_of(a), faces_of(b)
     inside = vertex_inside(b, a).toDF(*names[::-1]).select(*names).join(crossing, [*names], "left_anti")
     if not include_overlap_pairs:
         return inside
@@ -199,8 +275,6 @@ def running_offsets(counts: DataFrame, n: str, *order: str) -> DataFrame:
     """``offset``: the sum of ``n`` before each row in an order, from sums per range."""
     from pyspark.sql.window import Window
 
-    from ..runtime import cut
-
     dealt = cut(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     per = dealt.groupBy("_part").agg(F.sum(n).alias("_n"))
     before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per partition
@@ -211,15 +285,3 @@ def running_offsets(counts: DataFrame, n: str, *order: str) -> DataFrame:
 def packed(pairs: DataFrame) -> DataFrame:
     """Pairs with ``pair_key``, both ids in one long."""
     return pairs.withColumn("pair_key", g.pack_pair(F.col(PAIR[0]), F.col(PAIR[1])))
-
-
-def label_parity(hits: DataFrame, *keys: str) -> DataFrame:
-    """``odd`` for each key: whether its number of rows is odd."""
-    return hits.groupBy(*keys).agg((F.count("*") % 2 == 1).alias("odd"))
-
-
-def valid_hits(results: DataFrame) -> DataFrame:
-    """Results that name an object: misses are -1 or null."""
-    return results.where(F.col("polygon_id") >= 0)
-
-

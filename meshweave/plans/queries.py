@@ -48,7 +48,9 @@ def placed(spark: SparkSession, sf_dir: str, table: str, key: str, salt: int) ->
     k = F.col(key).cast("long")
     part = lambda a, b, m, offset=0.0: (((k * k * F.lit(a).cast("long") + k * F.lit(b) + F.lit(salt)) % m) + F.lit(offset)) / F.lit(float(m))
     cols = {name: part(*spec) * u for name, spec in residues(salt).items()}
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(k.alias("object_id"), *[c.alias(n) for n, c in cols.items()], (F.lit(1.0) + part(*SIZE) * 4.0).alias("size"))
+    own = F.struct(*[c.alias(n) for n, c in cols.items()], (F.lit(1.0) + part(*SIZE) * 4.0).alias("size"))
+    # through a generator, so that the optimiser doesn't copy the formulas into every coordinate of every face
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(k.alias("object_id"), F.explode(F.array(own)).alias("o")).select("object_id", "o.*")
 
 
 def mesh(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
