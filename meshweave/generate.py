@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from .schema import AXES, CORNERS, TRIANGLE
 
-#: Which corners of a cube lie at the far end of each axis, and its twelve faces (fixed values).
-FAR = {"x": (1, 2, 5, 6), "y": (2, 3, 6, 7), "z": (4, 5, 6, 7)}
+#: The eight corners of a cube, 1 at the far end of an axis, and its twelve faces (fixed values).
+CUBE = ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))
 FACES = ((0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7))
 
 
 def face_bits() -> list[list[float]]:
     """For each face, 0 or 1 for the nine coordinates of its corners."""
-    return [[float(corner in FAR[a]) for corner in face for a in AXES] for face in FACES]
+    return [[float(x) for corner in face for x in CUBE[corner]] for face in FACES]
 
 
 def uniform(seed: int, *of) -> Column:
@@ -73,8 +73,8 @@ def instances(template: DataFrame, placed: DataFrame) -> DataFrame:
     return rows.select((F.col("object_id") * frame["n"] + F.col("n")).alias("tri_idx"), "object_id", *[(F.col(f"c{c[1]}") + F.col(f"f.{c}") * F.col("size")).alias(c) for c in TRIANGLE])
 
 
-def sphere_template(spark: SparkSession, rings: int = 8, sectors: int = 12) -> DataFrame:
-    """A unit sphere of triangles."""
+def sphere_faces(rings: int = 8, sectors: int = 12) -> list[list[float]]:
+    """The nine coordinates of each triangle of a unit sphere."""
     def at(i: int, j: int) -> tuple[float, float, float]:
         t, f = math.pi * i / rings, 2 * math.pi * (j % sectors) / sectors
         return (math.sin(t) * math.cos(f), math.sin(t) * math.sin(f), math.cos(t)) if 0 < i < rings else (0.0, 0.0, 1.0 if i == 0 else -1.0)
@@ -84,7 +84,13 @@ def sphere_template(spark: SparkSession, rings: int = 8, sectors: int = 12) -> D
         for j in range(sectors):
             a, b, c, d = at(i, j), at(i + 1, j), at(i + 1, j + 1), at(i, j + 1)
             faces += ([(a, b, c)] if i < rings - 1 else []) + ([(a, c, d)] if i > 0 else [])
-    return spark.createDataFrame([(n, 0, *[x for v in f for x in v]) for n, f in enumerate(faces)], "tri_idx long, object_id long, " + ", ".join(f"{c} double" for c in TRIANGLE))
+    return [[x for v in f for x in v] for f in faces]
+
+
+def sphere_template(spark: SparkSession, rings: int = 8, sectors: int = 12) -> DataFrame:
+    """A unit sphere of triangles."""
+    rows = [(n, 0, *f) for n, f in enumerate(sphere_faces(rings, sectors))]
+    return spark.createDataFrame(rows, "tri_idx long, object_id long, " + ", ".join(f"{c} double" for c in TRIANGLE))
 
 
 def points_in_box(spark: SparkSession, n: int, low: tuple, high: tuple, seed: int = 0) -> DataFrame:

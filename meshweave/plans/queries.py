@@ -441,6 +441,9 @@ def exclusive_scan(spark, d):
     return joins.running_offsets(objects.surface(mesh(spark, d, "b")), "n_triangles", "object_id").select("object_id", "offset")
 
 
+from . import more  # noqa: E402, F401 - adds its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

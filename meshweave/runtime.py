@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,34 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; a local one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, removed when the driver ends."""
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        pass
+
+
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; a local one only where none is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         own = tempfile.TemporaryDirectory(prefix="meshweave-")
         atexit.register(own.cleanup)
         context.setCheckpointDir(own.name)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once into the shared checkpoint folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -229,11 +229,13 @@ def read_off(spark: SparkSession, path: str) -> DataFrame:
                 for _ in range(n_f):
                     face = [int(next(words)) for _ in range(int(next(words)))]
                     for i in range(1, len(face) - 1):
-                        rows.append((int(n) * 1_000_000 + k, n, *v[face[0]], *v[face[i]], *v[face[i + 1]]))
+                        rows.append((k, n, *v[face[0]], *v[face[i]], *v[face[i + 1]]))
                         k += 1
             yield _frame(rows)
 
-    return lines.select("object_id", "value").mapInPandas(run, TRIANGLE_DDL)
+    # faces are numbered within their object first, then through all objects
+    faces = lines.select("object_id", "value").mapInPandas(run, TRIANGLE_DDL).withColumnRenamed("tri_idx", "_face")
+    return numbered(faces, "object_id", "_face", name="tri_idx").select("tri_idx", "object_id", *TRIANGLE)
 
 
 def read_bounds(spark: SparkSession, path: str) -> DataFrame:

@@ -114,6 +114,29 @@ def test_box_join_equals_nested_loop(spark):
         assert [d for _, d in sorted(knn[p[0]])] == [round(d, 9) for d in sorted(gap(p, q) for q in y)[:3]]
 
 
+def test_knn_ends_without_usable_boxes(spark):
+    cols = "object_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    box = lambda i, x: (i, x, x, x, x + 1.0, x + 1.0, x + 1.0)
+    none, nan = (8, *[None] * 6), (9, *[float("nan")] * 6)
+    a, b = (spark.createDataFrame(rows, cols) for rows in ([box(0, 0.0), none, nan], [box(0, 1e6), none, nan]))
+    assert [(r["a_object_id"], r["b_object_id"]) for r in distance.knn_join(a, b, 2).collect()] == [(0, 0)]
+    assert distance.knn_join(a, b.where("object_id > 0"), 2).count() == 0 == distance.knn_join(a.where("object_id > 0"), b, 1).count()
+    assert [r["b_object_id"] for r in distance.knn_join(a.unionAll(b.where("object_id = 0").withColumn("object_id", F.lit(1).cast("long"))), a, 3, same=True).collect()] == [0]
+
+
+def test_large_meshes_meet_in_cells(spark, monkeypatch):
+    """Spheres of many faces: in cells and all against all alike."""
+    placed = lambda *rows: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "object_id long, cx double, cy double, cz double, size double")
+    a = generate.instances(generate.sphere_template(spark, 12, 16), placed((0, 0, 0, 4), (10, 0, 0, 1)))
+    b = generate.instances(generate.sphere_template(spark, 10, 14), placed((1.1, 0.2, 0.3, 4), (1.5, 1.4, 1.3, 1), (10.3, 0.1, 0.2, 2))).unionByName(cubes(spark, (0.1, 0.2, 0.3, 2.5)).withColumns({"object_id": F.lit(7).cast("long"), "tri_idx": F.col("tri_idx") + 10_000}))
+    found = []
+    for limit in (10**9, 0):
+        monkeypatch.setattr(joins, "PAIRWISE", limit)
+        found.append(sorted(map(tuple, joins.overlap_hits(a, b).collect())))
+    assert found[0] == found[1] and len(found[0]) > 50
+    assert {(0, 0), (0, 7), (1, 2)} == set(found[0])
+
+
 def test_grid(spark):
     a = cubes(spark, (0.5, 0.5, 0.5, 1), (3.5, 3.5, 3.5, 3))
     frame = grid.Grid.world(4, 4)
