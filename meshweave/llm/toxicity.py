@@ -111,6 +111,18 @@ def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least_z: flo
     return np.sort(at[np.argsort(-z[at], kind="stable")[:MOST_WORDS]])
 
 
+def thinned(rows: DataFrame, kept: np.ndarray) -> DataFrame:
+    """``key, positive, slots`` with the slots in ``kept`` only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [[int(s) for s in x.values.to_numpy() if s in held] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["key", "positive", "slots"])
+
+    held = set(kept.tolist())
+    return rows.mapInArrow(run, "key long, positive boolean, slots array<int>")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 12_000) -> tuple[np.ndarray, float]:
     """Fit on the training folds."""
     common.bound_batches(docs.sparkSession)
@@ -128,9 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unl
     held = rows.select("positive", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()  # at most 2 ** BITS rows
     in_p, in_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     in_p[held.column("slot").to_numpy()], in_u[held.column("slot").to_numpy()] = held.column("p").to_numpy(), held.column("u").to_numpy()
-    kept = telling(in_p, in_u, sizes.get(True, 0), sizes.get(False, 0)).tolist()
-    thin = F.filter("slots", lambda s: F.array_contains(F.lit(kept).cast("array<int>"), s)) if kept else F.array().cast("array<int>")
-    few = rows.select("key", "positive", thin.alias("slots")).orderBy("key", "positive", "slots").toArrow()
+    few = thinned(rows, telling(in_p, in_u, sizes.get(True, 0), sizes.get(False, 0))).orderBy("key", "positive", "slots").toArrow()
     slots, flags = few.column("slots").to_pylist(), few.column("positive").to_pylist()
     return fit_nnpu([s for s, f in zip(slots, flags) if f], [s for s, f in zip(slots, flags) if not f], prior)
 
