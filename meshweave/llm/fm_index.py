@@ -72,11 +72,9 @@ class FmIndex:
         n = len(flat) + len(sizes)
         ends = np.cumsum(sizes + 1)
         text = np.zeros(n, np.int64)
-        self.at = ends - sizes - 1  # where each sequence starts in the text
         inside = np.ones(n, bool)
         inside[ends - 1] = False
         text[inside] = flat
-        self.text, self.sizes = text, sizes
         order = suffix_array(text, depth)
         alphabet = int(text.max()) + 1
         self.matrix = WaveletMatrix(text[order - 1], alphabet)
@@ -106,24 +104,25 @@ class FmIndex:
             out[at] = np.minimum(table[low[at]], table[high[at] - (1 << int(level))])
         return out
 
-    def repeats(self, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Maximal runs of at least ``least`` numbers of each sequence that a lesser owner's sequence holds.
+    def repeats(self, flat: np.ndarray, sizes: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal runs of at least ``least`` numbers of each given sequence that an indexed one of a lesser owner holds.
 
+        ``flat``: the given sequences in a row; 0 stands for what the index does not know.
         Matching statistics by backward search: from an end to the left as far as a lesser
         owner still matches; a next run must reach further left, which bounds its end.
         Gives sequence, start and end of each run.
         """
-        m = len(self.sizes)
-        end = self.sizes.astype(np.int64).copy()  # the end searched from, exclusive
+        m = len(sizes)
+        base = np.cumsum(sizes) - sizes
+        end = sizes.astype(np.int64)  # the end searched from, exclusive
         at = end.copy()  # what is matched: [at, end)
         low, high = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
         live = np.nonzero(end >= least)[0]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
-            more = at[live] > 0
-            c = self.text[self.at[live] + np.maximum(at[live] - 1, 0)]
+            c = flat[base[live] + np.maximum(at[live] - 1, 0)]
             new_low, new_high = self.step(c, low[live], high[live])
-            good = more & (new_high > new_low)
+            good = (at[live] > 0) & (c > 0) & (new_high > new_low)
             some = np.nonzero(good)[0]
             good[some] = self.least_owner(new_low[some], new_high[some]) < owner[live[some]]
             on = live[good]

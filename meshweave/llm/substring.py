@@ -12,8 +12,10 @@ word, in a document with a smaller id.
    to the shard of its anchor. A shard builds a compressed FM-index of them and streams
    them through it: backward search over its wavelet matrix gives matching statistics,
    and runs of at least ``window`` words that a smaller document holds are reported.
-4. An anchor with more than ``HOT_SEGMENTS`` different segments is spread by window:
-   its segments' windows are compared by their hashes, combined before the shuffle.
+4. An anchor with more different segments than ``SHARD_SEGMENTS`` is split over several
+   shards. Each indexes its own share and streams all segments of the anchor through it
+   in batches, so no task holds more than a share; the work of such an anchor grows with
+   the number of its segments times the number of its shares.
 5. Reported places are united per document; its text is read again to hash what is kept.
 
 Hashes are of 128 bits in all (two 64-bit sums). Texts move only for documents that
@@ -41,7 +43,6 @@ from .fm_index import FmIndex
 
 WINDOW = 50
 ANCHOR = 12
-HOT_SEGMENTS = 2_000
 SHARD_SEGMENTS = 12_000
 BLOOM_BITS = 24
 _MEMO = 300_000
@@ -183,70 +184,70 @@ def joined_places(docs: DataFrame, places: DataFrame, columns: list[str]) -> Dat
 
 
 def segment_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``anchor, seg, hot, doc, words``: the words of each needed segment."""
-    rows = joined_places(docs, needed, ["anchor", "seg", "hot", "first", "windows"])
+    """``anchor, shares, seg, doc, words``: the words of each needed segment."""
+    rows = joined_places(docs, needed, ["anchor", "shares", "seg", "first", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, raw, places in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 words = raw.split()
-                out += [(p["anchor"], p["seg"], p["hot"], doc, b" ".join(words[p["first"] : p["first"] + p["windows"] - 1 + WINDOW])) for p in places]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "seg", "hot", "doc", "words"])
+                out += [(p["anchor"], p["shares"], p["seg"], doc, b" ".join(words[p["first"] : p["first"] + p["windows"] - 1 + WINDOW])) for p in places]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "shares", "seg", "doc", "words"])
 
-    return rows.mapInArrow(run, "anchor long, seg long, hot boolean, doc long, words binary")
+    return rows.mapInArrow(run, "anchor long, shares int, seg long, doc long, words binary")
 
 
-def shard_repeats(held: list[tuple]) -> pa.RecordBatch:
-    """Repeats among ``(anchor, seg, doc, words)`` segments, by one FM-index of them."""
-    known = Words()
-    lists = [known.ids(w.split()) for *_, w in held]
-    sizes = np.array([len(x) for x in lists])
-    _, flat = np.unique(np.concatenate(lists), return_inverse=True)
-    owner = np.unique(np.array([h[2] for h in held]), return_inverse=True)[1].astype(np.int32)
-    seq, start, end = FmIndex(flat + 1, sizes, owner, WINDOW).repeats(owner, WINDOW)
-    of = lambda i: pa.array(np.array([h[i] for h in held])[seq])
-    return pa.RecordBatch.from_arrays([of(0), of(1), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["anchor", "seg", "start", "end"])
+class Shard:
+    """An FM-index of ``(anchor, seg, doc, words)`` segments, and what streams through it."""
 
+    def __init__(self, held: list[tuple]):
+        self.known = Words()
+        lists = [self.known.ids(w.split()) for *_, w in held]
+        self.words, flat = np.unique(np.concatenate(lists), return_inverse=True)
+        self.docs, owner = np.unique(np.array([h[2] for h in held]), return_inverse=True)
+        self.index = FmIndex(flat + 1, np.array([len(x) for x in lists]), owner.astype(np.int32), WINDOW)
 
-def indexed_repeats(segs: DataFrame, shards: int) -> DataFrame:
-    """``anchor, seg, start, end``: runs that a smaller document's segment of the same anchor holds."""
-    rows = segs.repartition(shards, "anchor").sortWithinPartitions("anchor", "doc", "seg").select("anchor", "seg", "doc", "words")
+    def repeats(self, streamed: list[tuple]) -> pa.RecordBatch:
+        """``anchor, seg, start, end``: runs of the streamed segments that an indexed one of a smaller document holds."""
+        lists = [self.known.ids(w.split()) for *_, w in streamed]
+        ids = np.concatenate(lists)
+        at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
+        numbers = np.where(self.words[at] == ids, at + 1, 0)
+        before = np.searchsorted(self.docs, np.array([s[2] for s in streamed])).astype(np.int32)
+        seq, start, end = self.index.repeats(numbers, np.array([len(x) for x in lists]), before, WINDOW)
+        of = lambda i: pa.array(np.array([s[i] for s in streamed], np.int64)[seq])
+        return pa.RecordBatch.from_arrays([of(0), of(1), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["anchor", "seg", "start", "end"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for segment in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if len(held) >= SHARD_SEGMENTS and segment[0] != held[-1][0]:
-                    yield shard_repeats(held)
-                    held = []
-                held.append(segment)
-        if held:
-            yield shard_repeats(held)
 
-    return rows.mapInArrow(run, "anchor long, seg long, start int, end int")
-
-
-def window_repeats(segs: DataFrame) -> DataFrame:
-    """The same for the segments of hot anchors, window by window."""
+def indexed_repeats(segs: DataFrame, shards: int) -> DataFrame:
+    """``anchor, seg, start, end``: runs that a smaller document's segment of the same anchor holds."""
+    dealt = segs.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("seg"), F.col("shares")) == F.col("share"))
+    rows = dealt.repartition(shards, "anchor", "share").sortWithinPartitions("anchor", "share", F.desc("own"), "doc", "seg")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        shard, waiting, last = None, [], None
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for anchor, seg, doc, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                ids = known.ids(words.split())
-                at = np.arange(len(ids) - WINDOW + 1)
-                one, two = (Sums(ids, base).runs(at, at + WINDOW).view(np.int64) for base in (_B1, _B2))
-                for col, values in zip(cols, (one, two, np.full(len(at), doc), np.full(len(at), anchor), np.full(len(at), seg), at.astype(np.int32))):
-                    col.append(values)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["one", "two", "doc", "anchor", "seg", "start"])
-
-    found = common.written(segs.select("anchor", "seg", "doc", "words").mapInArrow(run, "one long, two long, doc long, anchor long, seg long, start int"), "hot-windows")
-    least = common.cut(found.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
-    return found.join(least, ["one", "two"]).where(F.col("doc") > F.col("least")).select("anchor", "seg", "start", (F.col("start") + WINDOW).alias("end"))
+            for anchor, shares, share, own, *rest in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (anchor, share) != last:
+                    if waiting and (shard or shares > 1 or len(waiting) >= SHARD_SEGMENTS):
+                        yield (shard or Shard(waiting)).repeats(waiting)
+                        waiting = []
+                    shard = None
+                elif not shard and not own and waiting:
+                    shard = Shard(waiting)
+                if shard and len(waiting) >= SHARD_SEGMENTS:
+                    yield shard.repeats(waiting)
+                    waiting = []
+                last = anchor, share
+                if own or shard:  # a share without segments of its own has nothing to find
+                    waiting.append((anchor, *rest))
+        if waiting:
+            yield (shard or Shard(waiting)).repeats(waiting)
+
+    return rows.select("anchor", "shares", "share", "own", "seg", "doc", "words").mapInArrow(run, "anchor long, seg long, start int, end int")
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
@@ -260,10 +261,10 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     held = common.written(held, "shared-segments")
     equal = held.where(F.col("doc") > F.col("least")).select("doc", "print", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WINDOW).alias("end"))
     firsts = held.where((F.col("doc") == F.col("least")) & (F.col("n") > 1))
-    needed = firsts.groupBy("anchor", "seg").agg(F.min(F.struct("doc", "print", "first", "windows")).alias("x"), F.max(F.col("n") > HOT_SEGMENTS).alias("hot")).select("anchor", "seg", "hot", "x.*")
+    needed = firsts.groupBy("anchor", "seg").agg(F.min(F.struct("doc", "print", "first", "windows")).alias("x"), F.max(F.ceil(F.col("n") / SHARD_SEGMENTS).cast("int")).alias("shares")).select("anchor", "shares", "seg", "x.*")
     segs = common.written(segment_words(docs, needed), "segment-words")
-    shards = max(common.partitions(docs), segs.count() // SHARD_SEGMENTS + 1)
-    runs = common.cut(indexed_repeats(segs.where("not hot"), shards).unionByName(window_repeats(segs.where("hot"))))
+    rows = segs.agg(F.sum("shares")).first()[0] or 0
+    runs = common.cut(indexed_repeats(segs, max(common.partitions(docs), rows // SHARD_SEGMENTS + 1)))
     places = firsts.select("anchor", "seg", "doc", "print", "first").join(runs, ["anchor", "seg"])
     return equal.unionByName(places.select("doc", "print", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))
 

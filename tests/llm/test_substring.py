@@ -37,7 +37,8 @@ def test_fm_index_finds_all_runs():
         base = rng.integers(1, 4, 40)
         lists = [np.concatenate([rng.integers(1, 5, int(rng.integers(0, 6))), base[i : i + int(rng.integers(1, 20))], rng.integers(1, 5, 3)]) for i in rng.integers(0, 30, 25)]
         owner = rng.integers(0, 12, 25).astype(np.int32)
-        seq, start, end = FmIndex(np.concatenate(lists), np.array([len(x) for x in lists]), owner, 64).repeats(owner, least)
+        flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+        seq, start, end = FmIndex(flat, sizes, owner, 64).repeats(flat, sizes, owner, least)
         got = [np.zeros(len(x), bool) for x in lists]
         for s, a, b in zip(seq, start, end):
             got[s][a:b] = True
@@ -49,11 +50,11 @@ def test_fm_index_finds_all_runs():
             assert (want == got[i]).all()
 
 
-@pytest.mark.parametrize("hot", [2_000, 2])
-def test_equals_all_windows(spark, monkeypatch, hot):
+@pytest.mark.parametrize("most", [12_000, 2])
+def test_equals_all_windows(spark, monkeypatch, most):
     from meshweave.llm import substring
 
-    monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring, "SHARD_SEGMENTS", most)
     rng = np.random.default_rng(4)
     pick = lambda n: [f"v{x}" for x in rng.integers(0, 500, n)]
     passage, base = pick(70), pick(300)
