@@ -73,13 +73,15 @@ def _clear_at_exit(spark: SparkSession) -> None:
         atexit.register(_remove, spark, own)
 
 
-def release(*frames: DataFrame) -> None:
-    """Delete the files behind frames of ``cut`` and ``written`` that nothing will read again.
+def drop_shuffles(spark: SparkSession) -> None:
+    """Ask the JVM to collect garbage, upon which Spark deletes the shuffles that nothing refers to."""
+    spark.sparkContext._jvm.System.gc()
 
-    The JVM is asked to collect garbage, upon which Spark deletes the shuffles that nothing refers to.
-    """
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames of ``cut`` and ``written`` that nothing will read again, and idle shuffles."""
     if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
+        drop_shuffles(frames[0].sparkSession)
     for df in frames:
         path = df.__dict__.get("_stored_at")
         if path is None:
