@@ -222,11 +222,9 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     common.bound_batches(spark)
     folder = folder or common.new_path(spark, "warc")
     first = common.cut(write_archives(plan(pages), f"{folder}/monolithic"))
-    common.drop_shuffles(spark)  # of the payloads, which the archives hold now
     n = max(1, first.count())
     index = common.written(normalise(first.repartition(n), f"{folder}/records"), "warc-index")
     common.remove_path(spark, f"{folder}/monolithic")
-    common.release(first)
     return index
 
 
