@@ -17,6 +17,7 @@ such a place it is encoded whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -72,6 +73,7 @@ class Counter:
     """Counts tokens with a memo of pieces; one per task."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
