@@ -18,8 +18,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies: similarity 0.8 over five words."""
-    return simhash.one_of_each_class(docs)
+    """Keep one document of each class of near copies: SimHash within 2 bits, or similarity 0.8 over five words."""
+    return simhash.one_of_each_class(docs, radius=2)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ their links as a forest of binary trees, so no fingerprint becomes a hub. Copies
 fingerprint and are one member. Nothing is capped.
 
 ``near_copies`` and ``one_of_each_class`` judge by similarity over shingles of five
-words instead, through an exact prefix index; see there.
+words, through an exact prefix index; given a radius, they take the links of this index
+first and go on from its classes; see there.
 
 Edge cases: null or empty texts have fingerprint zero and link like any other;
 texts with fewer words than a shingle hash their whole sequence; repeated rows
@@ -222,7 +223,8 @@ def fingerprint_text(column: str = "fp"):
 #
 # At a similarity of 0.8 over five-word shingles the 64 SimHash bits of two texts differ
 # in about 10 places (4 to 18 measured), so no number of equal bytes is guaranteed and
-# the index above can't find such pairs. Here the index is an exact prefix filter: all
+# the index above can't find such pairs. What it links is one class from the start; the
+# pairs beyond its radius come from an exact prefix filter: all
 # texts order their shingles alike, rare ones first, and post the first
 # ``n - ceil(similarity * n) + 1`` of their ``n``. Two texts at ``similarity`` share at least
 # ``ceil(similarity * n)`` of either's, so the first they share is posted by both: every
@@ -499,11 +501,28 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simila
     return found
 
 
-def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def simhash_classes(docs: DataFrame, prints: DataFrame, radius: int, k: int = 3) -> DataFrame:
+    """``node, label``: the classes of nodes by the links of their texts' fingerprints; a node linked to no other may be missing.
+
+    A node can hold texts of several fingerprints (they count repeated shingles), so classes of fingerprints meet in it.
+    """
+    prints_of = common.cut(fingerprints(docs, k).select("print", "fp").distinct())
+    found = components(links(common.cut(prints_of.select("fp").distinct()), radius))
+    texts = prints.select("print", "node").distinct().join(prints_of, "print")
+    classes = texts.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("label", "fp").alias("class")).distinct()
+    classes = common.cut(classes)
+    least = common.cut(classes.groupBy("class").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v <> high").drop("high"))
+    out = components(classes.join(least, "class").select(F.col("node").alias("u"), "v"))
+    common.release(prints_of, classes, least)
+    return out
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Every row's ``doc_id, print, node``, and every node's ``node, label``: its class of near copies.
 
     A node is a set of shingles, so texts that differ in case, white space or repeated
-    shingles are one. The first turns only save work: each member of a list is compared with the
+    shingles are one. Given a ``radius``, nodes start in the classes of ``simhash_classes``. The
+    first turns only save work: each member of a list is compared with the
     leader of its block, in the second turn one member for each class of a list. The last
     turn is exact: every pair of different classes that a list still holds is ruled out by a
     bound or verified, long lists in tiles of two blocks.
@@ -517,7 +536,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
     posted = distinct_lists(found.select("node", F.explode("lists").alias("value")))
     common.release(found)
     sketch = nodes.select("node", "size", "parity", "counts")
-    labels, turn, several = None, 0, True
+    labels, turn, several = None if radius is None else simhash_classes(docs, prints, radius), 0, True
     while turn <= LEADER_TURNS:
         if turn == 1 and not several:  # no list is longer than a block
             turn = LEADER_TURNS
@@ -550,13 +569,14 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
     return prints, labels
 
 
-def one_of_each_class(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each_class(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """``docs`` with one row of each class of near copies: the smallest id, null last, then the least hash of the text.
 
+    Links are similarities and, given a ``radius``, fingerprints within so many bits, as in ``near_duplicate_classes``.
     Rows are told apart by id and text; of rows equal in both one stays. Texts without words are one class.
     """
     last = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
-    prints, labels = near_copies(docs, k, similarity)
+    prints, labels = near_copies(docs, k, similarity, radius)
     first = prints.groupBy("node").agg(F.min(last()).alias("first")).join(labels, "node").groupBy("label").agg(F.min("first").alias("first"))
     kept = common.cut(first.select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.print").alias("__print")))
     keys = ["__id", "__none", "__print"]

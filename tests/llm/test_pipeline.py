@@ -40,3 +40,28 @@ def test_stages(spark, tmp_path):
     out = run(spark, sf)
     assert {"shard", "slot", "turn", "first_word", "n_words_taken", "doc_id", "text"} <= set(out.columns)
     assert {r["doc_id"] for r in out.collect()} <= set(redacted)
+
+
+def test_near_dedup_takes_simhash_links(spark):
+    """Texts within 2 bits of SimHash are one class, and so is what either kind of link joins to it."""
+    from corpus_pipeline import drop_near_duplicates
+    from meshweave.llm.simhash import fingerprint, one_of_each_class
+
+    rng = np.random.default_rng(5)
+    pick = lambda n: " ".join("u%d" % x for x in rng.integers(0, 10**9, n))
+    tail = pick(60)
+    texts = [
+        "a b c " * 200 + pick(30),  # the same print as the next, but few shared shingles
+        "a b c " * 200 + tail,
+        "a b c " * 5 + tail,  # the set of shingles of the one before, another print
+        "a b c " * 5 + tail + " end",  # similar to the one before
+        *(pick(40) for _ in range(20)),
+    ]
+    prints = [fingerprint(t.encode()) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < min((prints[1] ^ prints[i]).bit_count() for i in range(2, 24))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = lambda found: sorted(r["doc_id"] for r in found.collect())
+    assert kept(one_of_each_class(docs)) == [0, 1, *range(4, 24)]
+    assert kept(drop_near_duplicates(spark, docs, "")) == [0, *range(4, 24)]
+    assert kept(drop_near_duplicates(spark, docs.where("doc_id > 4"), "")) == [*range(5, 24)]
+    assert kept(drop_near_duplicates(spark, docs.where("false"), "")) == []
