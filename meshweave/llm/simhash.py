@@ -230,8 +230,9 @@ def fingerprint_text(column: str = "fp"):
 # ``ceil(similarity * n)`` of either's, so the first they share is posted by both: every
 # such pair meets in a list. Pairs that meet are ruled out by bounds or verified.
 
-#: The order counts shingles in about so many texts and knows at most so many common ones. It decides how long lists get, not what is found.
-SAMPLE, COMMON = 5_000, 200_000
+#: The order counts shingles in about so many texts, one in ``SHARE`` at least, and knows at most so many common ones. It decides
+#: how long lists get, not what is found; a sample of fixed size would let them grow with the input.
+SAMPLE, SHARE, COMMON = 5_000, 10, 200_000
 #: Turns that only link members to the leaders of their block.
 LEADER_TURNS = 2
 #: Members of a list in one block; a longer list is dealt over blocks, and each two of them meet in the exact turn.
@@ -258,7 +259,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_bytes(x), k))], names=["h"])
 
-    share = docs.count() // SAMPLE + 1
+    share = min(docs.count() // SAMPLE + 1, SHARE)
     sample = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(share)) == 0).select(F.col("text").cast("binary").alias("raw"))
     counts = common.cut(sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     least, total = 2, 0
@@ -536,23 +537,22 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     posted = distinct_lists(found.select("node", F.explode("lists").alias("value")))
     common.release(found)
     sketch = nodes.select("node", "size", "parity", "counts")
-    labels, turn, several = None if radius is None else simhash_classes(docs, prints, radius), 0, True
-    while turn <= LEADER_TURNS:
-        if turn == 1 and not several:  # no list is longer than a block
-            turn = LEADER_TURNS
+    labels = None if radius is None else simhash_classes(docs, prints, radius)
+    for turn in range(LEADER_TURNS + 1):
         if labels is None:  # every node is a class
             placed = posted.withColumn("label", F.col("node"))
-        else:
-            placed = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-            placed = placed.join(common.maybe_broadcast(common.cut(mixed)), "value", "left_semi")
+        else:  # stored, as what follows reads it more than once
+            labelled = common.written(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+            mixed = common.cut(labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value"))
+            placed = labelled.join(common.maybe_broadcast(mixed), "value", "left_semi")
             if turn < LEADER_TURNS:
                 placed = placed.groupBy("value", "label").agg(F.min("node").alias("node"))
+            placed = common.written(placed, "placed")
+            common.release(labelled, mixed)
         blocks = common.written(blocks_of(placed, sketch), "blocks")
-        several = not blocks.where("blocks > 1").isEmpty()
         found = leader_pairs(blocks, similarity) if turn < LEADER_TURNS else possible_pairs(blocks, similarity)
         pairs = common.cut(found.distinct())
-        common.release(blocks)
+        common.release(blocks, *([] if labels is None else [placed]))
         met = verified(pairs, nodes, docs, k, similarity)
         if not met.isEmpty():
             merged = components(met)
@@ -563,7 +563,6 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
                 old = labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
                 labels = common.cut(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")))
         common.release(pairs, met)
-        turn += 1
     every = nodes.select("node")
     labels = every.withColumn("label", F.col("node")) if labels is None else every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     return prints, labels

@@ -65,3 +65,14 @@ def test_near_dedup_takes_simhash_links(spark):
     assert kept(drop_near_duplicates(spark, docs, "")) == [0, *range(4, 24)]
     assert kept(drop_near_duplicates(spark, docs.where("doc_id > 4"), "")) == [*range(5, 24)]
     assert kept(drop_near_duplicates(spark, docs.where("false"), "")) == []
+
+
+def test_order_of_shingles_counts_a_share_of_texts(spark, monkeypatch):
+    """A passage that one in twenty texts holds is known as common however many texts there are."""
+    from meshweave.llm import simhash
+
+    passages = [" ".join("p%dw%d" % (i, j) for j in range(20)) for i in range(20)]
+    rows = [(i, "own%d here " % i + passages[i % 20]) for i in range(2000)]
+    monkeypatch.setattr(simhash, "SAMPLE", 10)
+    keys, _ = simhash.common_shingles(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert {int(h) for p in passages for h in simhash.shingle_set(p.encode(), 5)} <= set(keys.tolist())
