@@ -184,36 +184,47 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive").mapInArrow(run, INDEX)
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``, read member by member."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = None, None
-        for batch in batches:
-            rows = []
-            for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if archive != name:
-                    if file is not None:
-                        file.close()
-                    store, path = _store(archive)
-                    name, file = archive, store.open_input_file(path)
-                file.seek(offset)
-                data = zlib.decompress(file.read(length), 31)
-                end = data.index(b"\r\n\r\n")
-                head = headers(data[:end])
-                block = data[end + 4 : end + 4 + int(head["content-length"])]
-                payload = block[block.index(b"\r\n\r\n") + 4 :]
-                digest = head["warc-payload-digest"].removeprefix("sha1:")
-                revisit = head["warc-type"] == "revisit"
-                if not revisit and digest_text(hashlib.sha1(payload).digest()) != digest:
-                    raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
-                rows.append((page_of(head["warc-record-id"]), head["warc-target-uri"], int(head["x-payload-length"]), digest, head["warc-type"], page_of(head.get("warc-refers-to")), None if revisit else payload))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
-
-    kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return index.select("archive", "offset", "length").mapInArrow(run, kind)
+_READ = {"page_id": ("long", pa.int64()), "url": ("string", pa.string()), "payload_bytes": ("long", pa.int64()), "payload_digest": ("string", pa.string()), "record_type": ("string", pa.string()), "refers_to": ("long", pa.int64()), "payload": ("binary", pa.binary())}
+
+
+def members(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The records that ``archive, offset, length`` rows name, in batches of about ``ARROW_BYTES`` whatever the size of payloads."""
+    names = list(_READ) if payloads else list(_READ)[:-1]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _READ[name][1]) for i, name in enumerate(names)], names=names)
+
+    name, file = None, None
+    for batch in batches:
+        rows, size = [], 0
+        for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if archive != name:
+                if file is not None:
+                    file.close()
+                store, path = _store(archive)
+                name, file = archive, store.open_input_file(path)
+            file.seek(offset)
+            data = zlib.decompress(file.read(length), 31)
+            end = data.index(b"\r\n\r\n")
+            head = headers(data[:end])
+            block = data[end + 4 : end + 4 + int(head["content-length"])]
+            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            digest = head["warc-payload-digest"].removeprefix("sha1:")
+            revisit = head["warc-type"] == "revisit"
+            if not revisit and digest_text(hashlib.sha1(payload).digest()) != digest:
+                raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
+            rows.append((page_of(head["warc-record-id"]), head["warc-target-uri"], int(head["x-payload-length"]), digest, head["warc-type"], page_of(head.get("warc-refers-to")), *([None if revisit else payload] if payloads else [])))
+            size += len(payload) if payloads else 0
+            if size >= common.ARROW_BYTES:
+                yield packed(rows)
+                rows, size = [], 0
+        yield packed(rows)
+
+
+def read_back(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and, if asked for, ``payload``, read member by member."""
+    kind = ", ".join(f"{name} {_READ[name][0]}" for name in _READ if payloads or name != "payload")
+    return index.select("archive", "offset", "length").mapInArrow(lambda batches: members(batches, payloads), kind)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -230,4 +241,4 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` and read the archives: one row per page, without payloads."""
-    return read_back(archive(pages)).drop("url", "payload")
+    return read_back(archive(pages), payloads=False).drop("url")

@@ -192,6 +192,19 @@ def test_warc_round_trip(spark):
     assert archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_reads_large_payloads_in_small_batches(spark, monkeypatch):
+    from meshweave.llm import common, warc
+
+    rows = [(i, "http://h/", "%d " % i + "x" * 5000) for i in range(40)]
+    index = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).toArrow().select(["archive", "offset", "length"])
+    monkeypatch.setattr(common, "ARROW_BYTES", 20_000)
+    got = list(warc.members(iter(index.combine_chunks().to_batches()), True))
+    assert max(b.num_rows for b in got) <= 4
+    assert sorted((r["page_id"], r["payload"].decode()) for b in got for r in b.to_pylist()) == [(r[0], r[2]) for r in rows]
+    bare = list(warc.members(iter(index.combine_chunks().to_batches()), False))
+    assert "payload" not in bare[0].schema.names and sum(b.num_rows for b in bare) == 40
+
+
 # --- 8 toxicity -----------------------------------------------------------------------
 
 
