@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import generate
@@ -46,7 +46,11 @@ def placed(spark: SparkSession, sf_dir: str, table: str, key: str, salt: int) ->
     """``object_id, cx, cy, cz, size`` of each row of a table."""
     u = universe(spark, sf_dir)
     k = F.col(key).cast("long")
-    part = lambda a, b, m, offset=0.0: (((k * k * F.lit(a).cast("long") + k * F.lit(b) + F.lit(salt)) % m) + F.lit(offset)) / F.lit(float(m))
+
+    def part(a: int, b: int, m: int, offset: float = 0.0) -> Column:
+        rest = k % m  # the same residue, without products that outgrow a long
+        return (((rest * rest * F.lit(a).cast("long") + rest * F.lit(b) + F.lit(salt)) % m) + F.lit(offset)) / F.lit(float(m))
+
     cols = {name: part(*spec) * u for name, spec in residues(salt).items()}
     own = F.struct(*[c.alias(n) for n, c in cols.items()], (F.lit(1.0) + part(*SIZE) * 4.0).alias("size"))
     # through a generator, so that the optimiser doesn't copy the formulas into every coordinate of every face
