@@ -21,7 +21,7 @@ def keys(spark, tmp_path):
     return write
 
 
-@pytest.mark.parametrize("name", ["containment", "overlap_both", "overlap_triangle_edges", "hausdorff", "intersection_both"])
+@pytest.mark.parametrize("name", ["containment", "overlap_both", "overlap_triangle_edges", "hausdorff", "intersection_both", "profiling_counters"])
 def test_meshes_are_not_broadcast_by_the_size_of_their_files(spark, keys, name):
     """The plan before any size is measured: a mesh of a few bytes of keys is no small table."""
     plan = plans.queries()[name](spark, keys())._jdf.queryExecution().executedPlan().toString()
