@@ -41,7 +41,7 @@ def as_sql_has_it(spark, folder: str, name: str) -> None:
     assert sorted(map(plain, got.collect())) == sorted(map(plain, rows.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["point_file", "point_summary", "points_in_bounds", "box_measures", "barycentres", "box_mesh", "candidate_pairs", "cube_selectivity_theory", "csv_pairs", "dataset_bounds", "distinct_objects", "edge_multi_owner", "sphere_overlap"])
+@pytest.mark.parametrize("name", ["point_file", "point_summary", "points_in_bounds", "box_measures", "barycentres", "box_mesh", "candidate_pairs", "cube_selectivity_theory", "csv_pairs", "dataset_bounds", "distinct_objects", "edge_multi_owner", "sphere_overlap", "containment_with_overlap"])
 def test_keys_whose_squares_overflow(spark, keys, name):
     as_sql_has_it(spark, keys(40, 1_199_000), name)
 
